@@ -59,12 +59,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits_broadcast(df: DataFrame, bytes_per_row: int) -> bool:
-    """True when ``df`` is small enough to be held by every task.  Counts at
-    most one row beyond the bound."""
+def collect_bounded(df: DataFrame, bytes_per_row: int):
+    """``df`` as a pandas frame when it is within the bound, else None.  At most
+    one row beyond the bound is ever fetched."""
     bound = min(MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES // max(bytes_per_row, 1))
-    seen = df.select(F.lit(1).alias("one")).limit(bound + 1).count()
-    return seen <= bound
+    pdf = df.limit(bound + 1).toPandas()
+    return pdf if len(pdf) <= bound else None
 
 
 def spread(df: DataFrame) -> DataFrame:

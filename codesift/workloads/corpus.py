@@ -49,3 +49,53 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codesift.operators.features import featurize_files
 
     return featurize_files(raw_files(spark, sf_dir))
+
+
+HEADS = ["## [H-{N}] ", "## M-{N}: ", "## **[L-{N}]** ", "### [MEDIUM] ", "## [G-{N}] ", "## V{N} ", "## C-{N}:\n", "", "",
+         "", "", "## M–{N} ", "", ""]
+TOPICS = ["", " reentrancy", " oracle", " flash loan", " access control", " overflow", " sandwich", " gas limit", " replay",
+          " voting", " liquidation", " proxy", " single point", " rounding", " ERC4626", " erc-20", " NFT", " bridge",
+          " slot collision", "", " **bold** words", "| cell"]
+NAMES = ["2023-07-26-Proto{D}-v2.5.md", "Proto{D}-Security-Audit.md", "2024-01-01-Proto{D}-audit-v1.2.md", "Proto{D}-report.md"]
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents -> (firm, filename, rel_path, content): one markdown report each."""
+    d = F.col("doc_id")
+
+    def line(part: Column, i: Column) -> Column:
+        n, i = F.length(part).cast("long"), i.cast("long")
+        head = F.replace(_pick(HEADS, (i * 7 + d * 13 + n) % len(HEADS)), F.lit("{N}"), F.lpad((i % 30 + 1).cast("string"), 2, "0"))
+        return F.concat(head, part, F.lit("."), _pick(TOPICS, (i * 5 + d * 3 + n * 11) % len(TOPICS)))
+
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    name = F.replace(_pick(NAMES, d % len(NAMES)), F.lit("{D}"), d.cast("string"))
+    return docs.select(
+        F.col("source").alias("firm"), name.alias("filename"), F.concat(F.col("source"), F.lit("/"), name).alias("rel_path"),
+        F.array_join(F.transform(F.split("text", r"\. ", -1), line), "\n").alias("content"))
+
+
+def store_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings with their documents: (vec_id, embedding, cluster_id, category,
+    severity, protocol, page_content); the given label is the cluster."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    e = spread(table(spark, sf_dir, "embeddings"))
+    return e.join(d, e["vec_id"] == d["doc_id"]).select(
+        "vec_id", "embedding", F.col("label").alias("cluster_id"), F.col("lang").alias("category"),
+        _pick(["Critical", "High", "Medium", "Low", "Info"], F.col("vec_id") % 5).alias("severity"),
+        F.col("source").alias("protocol"), F.col("text").alias("page_content"))
+
+
+def project_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query vector per source: the mean of its documents' vectors."""
+    from codesift.operators.clusters import agg_centroid
+
+    docs = store_docs(spark, sf_dir).select(F.regexp_extract("protocol", r"(\d+)$", 1).cast("long").alias("cluster_id"), "embedding")
+    return agg_centroid(docs).select(F.col("cluster_id").alias("query_id"), F.col("vector").alias("embedding"))
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codesift.operators.clusters import agg_centroid
+
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster_id"), "embedding")
+    return agg_centroid(e).select("cluster_id", F.concat(F.lit("label-"), F.col("cluster_id").cast("string")).alias("label"), "vector", "size")
