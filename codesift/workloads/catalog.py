@@ -82,3 +82,297 @@ REPORTS = {
     "chunk_split": lambda s, d: reports.chunk_documents(reports.finding_to_document(_findings(s, d))).select(
         "rel_path", "section_no", "finding_id", "chunk_index", "page_content"),
 }
+
+
+# --- files and lines ---------------------------------------------------------
+
+from codesift.functions import features as ffx  # noqa: E402
+from codesift.functions.text import is_comment  # noqa: E402
+from codesift.operators import aggregates, features, merge, packing, paths, responses, scan  # noqa: E402
+from codesift.plans import passes, render  # noqa: E402
+from codesift.session import work_dir  # noqa: E402
+from codesift.streaming import ingest  # noqa: E402
+
+
+def _files(s, d) -> DataFrame:
+    return corpus.files(s, d)
+
+
+def _noisy(s, d) -> DataFrame:
+    """Texts of which some carry many control characters."""
+    docs = corpus.table(s, d, "documents").select("doc_id", "text", "source")
+    return docs.select(F.col("source").alias("project_id"), F.col("doc_id").cast("string").alias("path"),
+                       F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("\x01"))).otherwise(F.col("text")).alias("content"))
+
+
+def _supplied(files: DataFrame) -> DataFrame:
+    """Stand-in for summaries made elsewhere: the files with a high score."""
+    return files.filter(F.col("attack_score") > 0.8).select(
+        "project_id", "path", F.concat(F.lit("Moves value in "), "path").alias("summary"), F.array(F.lit("run()")).alias("entry_points"),
+        F.array(F.lit("Oracle.sol"), F.lit("Pool.sol")).alias("external_dependencies"))
+
+
+def _summaries(s, d) -> DataFrame:
+    f = _files(s, d)
+    return render.summarize_files(f, _supplied(f))
+
+
+def _notes(s, d) -> DataFrame:
+    return corpus.notes(s, d)
+
+
+_ID = ["project_id", "path"]
+BUDGET = aggregates.code_budget(32_768)
+
+FEATURES = {
+    "path_skip_filter": lambda s, d: features.path_skip_filter(corpus.raw_files(s, d)).select(*_ID),
+    "binary_filter": lambda s, d: features.binary_filter(_noisy(s, d)).select(*_ID),
+    "comment_filter": lambda s, d: scan.anchor_lines(_files(s, d)).groupBy(*_ID).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("line_no").cast("long")).alias("sum_line_no")),
+    "confidence_filter": lambda s, d: paths.confidence_filter(_notes(s, d)).select("project_id", "target_file", "confidence"),
+    "score_filter": lambda s, d: features.score_filter(_files(s, d), corpus.seen_files(s, d)).select(*_ID),
+    "join_unseen": lambda s, d: features.unseen_files(_files(s, d), corpus.seen_files(s, d)).select(*_ID),
+    "resume_filter": lambda s, d: ingest.resume_filter(
+        corpus.reports(s, d), corpus.table(s, d, "labels").select("doc_id").distinct().join(
+            corpus.reports_with_id(s, d), "doc_id").select("rel_path")).select("rel_path"),
+    "detect_language": lambda s, d: _files(s, d).select(*_ID, "language"),
+    "attack_score": lambda s, d: _files(s, d).select(*_ID, F.round("attack_score", 2).alias("attack_score")),
+    "extract_imports": lambda s, d: _files(s, d).select(*_ID, F.array_join("imports", "|").alias("imports")),
+    "build_source_file": lambda s, d: _files(s, d).select(
+        *_ID, "language", F.col("size").cast("long").alias("size"), F.round("attack_score", 2).alias("attack_score"),
+        F.size("imports").alias("n_imports"), F.md5("content").alias("content_md5")),
+    "file_context": lambda s, d: features.file_context(_files(s, d)),
+    "trivial_summary": lambda s, d: render.summarize_files(_files(s, d)).select(*_ID, "summary", F.array_join("external_dependencies", ", ").alias("deps")),
+    "fallback_summary": lambda s, d: _summaries(s, d).select(
+        *_ID, "summary", F.array_join("entry_points", ", ").alias("entry_points"), F.array_join("external_dependencies", ", ").alias("deps")),
+    "project_name": lambda s, d: render.project_names(_files(s, d)),
+    "function_signatures": lambda s, d: features.function_signatures(_files(s, d)),
+    "count_in_line": lambda s, d: scan.explode_lines(_files(s, d)).groupBy(*_ID).agg(
+        F.sum(F.regexp_count("line", F.lit(","))).alias("commas"), F.sum(F.regexp_count("line", F.lit(r"\{"))).alias("opened"),
+        F.sum(F.regexp_count("line", F.lit(r"\}"))).alias("closed")),
+    "explode_lines": lambda s, d: scan.explode_lines(_files(s, d)),
+    "explode_imports": lambda s, d: features.explode_imports(_files(s, d)),
+    "sort_attack_score": lambda s, d: features.sort_attack_score(_files(s, d)).select(*_ID, F.round("attack_score", 2).alias("attack_score")),
+}
+
+# --- rule scan ---------------------------------------------------------------
+
+FAMILIES = {
+    "scan_line": "007 008 009 014 019 025 027 029 032 034 047 060 066 072 079 086 089",
+    "scan_lookahead": "001 004 010 018 021 028 038 045 064 076",
+    "scan_lookbehind": "048 098",
+    "scan_around": "026 042 055",
+    "scan_file_context": "012 017 024 037 039 041 044 049 057 078",
+    "scan_version_gate": "033 097",
+    "scan_capture": "006 013 081",
+    "scan_first_per_file": "046 065 071 073",
+}
+LEAD = ["project_id", "pattern_id", "severity", "confidence", "file", "line_no", "snippet"]
+
+
+def rule_ids(name: str) -> list[str]:
+    return [f"ETH-{n}" for n in FAMILIES[name].split()]
+
+
+def _leads(s, d, ids=None) -> DataFrame:
+    return scan.rule_scan(_files(s, d), set(ids) if ids else None).withColumnRenamed("line", "line_no")
+
+
+def _all_leads(s, d) -> DataFrame:
+    return scan.rule_scan(_files(s, d))
+
+
+def _family(name: str):
+    return lambda s, d: _leads(s, d, rule_ids(name)).drop("verify")
+
+
+SCAN = {name: _family(name) for name in FAMILIES}
+SCAN |= {
+    "scan_displaced": lambda s, d: _leads(s, d, ["ETH-030"]).select(*LEAD),
+    "scan_brace_depth": lambda s, d: _leads(s, d, ["ETH-075"]).filter("severity = 'HIGH'").select(*LEAD),
+    "scan_nesting_count": lambda s, d: _leads(s, d, ["ETH-075"]).filter("severity = 'MEDIUM'").select(*LEAD),
+    "lead_rank": lambda s, d: scan.rank_leads(_all_leads(s, d)).withColumnRenamed("line", "line_no").select(*LEAD),
+    "lead_summary": lambda s, d: scan.lead_summary(_all_leads(s, d)),
+    "lead_block": lambda s, d: scan.lead_block(_all_leads(s, d)),
+}
+
+# --- joins over files and notes ----------------------------------------------
+
+
+def _targets(s, d) -> DataFrame:
+    return paths.suspicion_targets(_strong(s, d), _files(s, d))
+
+
+def _strong(s, d) -> DataFrame:
+    return paths.confidence_filter(_notes(s, d), 0.9)
+
+
+def _injected(s, d) -> DataFrame:
+    return paths.inject_notes(_files(s, d), _notes(s, d))
+
+
+JOINS = {
+    "join_fuzzy_path": lambda s, d: paths.fuzzy_path_join(_notes(s, d), _files(s, d)),
+    "join_suspicion_targets": lambda s, d: _targets(s, d).select(*_ID),
+    "join_import_neighbours": lambda s, d: paths.import_neighbours(_files(s, d), _targets(s, d)).select(*_ID),
+    "join_inject_suspicions": _injected,
+    "join_summarized": lambda s, d: render.batch_summaries(packing.pack_initial(_files(s, d), BUDGET), render.summarize_files(_files(s, d))).groupBy(
+        "project_id", "batch_no").agg(F.count(F.lit(1)).alias("n_summaries")),
+}
+
+# --- findings ----------------------------------------------------------------
+
+
+def _f(s, d) -> DataFrame:
+    return corpus.findings(s, d)
+
+
+def _merged(s, d) -> DataFrame:
+    return merge.merge_findings(_f(s, d))
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return df.withColumn("auditors", F.array_join("auditors", ","))
+
+
+def _truth(s, d) -> DataFrame:
+    f = _f(s, d).filter("auditor_id = 'auditor-1'")
+    return f.select(F.col("finding_id").alias("truth_id"), "project_id", "file", "line", "title")
+
+
+def _weighted(s, d) -> DataFrame:
+    f = _f(s, d)
+    keyed = f.join(merge.near_duplicates(f).select("finding_id", "merge_key"), "finding_id")
+    return merge.weighted_confidence(keyed, len(corpus.AUDITORS))
+
+
+def _audited(s, d) -> DataFrame:
+    return _f(s, d).groupBy("project_id").agg(F.count_distinct("file").alias("n_files"))
+
+
+FINDINGS = {
+    "finding_validity": lambda s, d: responses.parse_responses(corpus.responses(s, d))[0].select("resp_id", "ord", "severity", "title", "line"),
+    "union_findings": lambda s, d: merge.union_findings([_f(s, d).filter(F.col("pass_no") == n) for n in (0, 1, 2)]).select(
+        "finding_id", "project_id", "file", "auditor_id", "pass_no"),
+    "join_near_duplicate": lambda s, d: merge.near_duplicates(_f(s, d)),
+    "agg_finding_merge": lambda s, d: _flat(_merged(s, d)).drop("description", "exploit", "recommendation"),
+    "agg_weighted_confidence": _weighted,
+    "agg_severity_counts": lambda s, d: merge.agg_severity_counts(_f(s, d)),
+    "sort_report": lambda s, d: _flat(merge.sort_report(_merged(s, d))).select("project_id", "severity", "confidence", "file", "merge_key"),
+    "fallback_findings": lambda s, d: _flat(merge.fallback_findings(_f(s, d))).select("project_id", "finding_id", "confidence", "auditors"),
+    "eval_coverage": lambda s, d: merge.eval_coverage(_truth(s, d), _f(s, d), ["auditor-2", "auditor-3"]).withColumnsRenamed(
+        {"auditor-2": "auditor_2", "auditor-3": "auditor_3"}),
+    "render_report": lambda s, d: render.report_in_order(render.report_rows(
+        _merged(s, d), _audited(s, d), "2024-01-01T00:00:00Z", 1.0, ["model-a", "model-b"])).select("project_id", "part", "merge_key", "text"),
+}
+
+# --- responses ---------------------------------------------------------------
+
+
+def _parsed(s, d, i: int) -> DataFrame:
+    return responses.parse_responses(corpus.responses(s, d))[i]
+
+
+def _json(s, d) -> DataFrame:
+    r = corpus.responses(s, d)
+    body = responses.findings_part(responses.strip_think(F.col("raw")))
+    return responses.with_json(r.select("resp_id", body.alias("body")), "body", "found").select("resp_id", "found")
+
+
+RESPONSES = {
+    "strip_think": lambda s, d: corpus.responses(s, d).select("resp_id", responses.strip_think(F.col("raw")).alias("text")),
+    "split_suspicions": lambda s, d: corpus.responses(s, d).withColumn("t", responses.strip_think(F.col("raw"))).select(
+        "resp_id", responses.findings_part(F.col("t")).alias("body"), responses.notes_part(F.col("t")).alias("tail")),
+    "extract_json": _json,
+    "explode_responses": lambda s, d: responses._items(_json(s, d), "found", ["resp_id"], ["$", "$.findings"]).select(
+        "resp_id", "ord", F.try_variant_get("item", "$.title", "string").alias("title")),
+    "parse_findings": lambda s, d: _parsed(s, d, 0),
+    "parse_suspicions": lambda s, d: _parsed(s, d, 1),
+    "parse_rejects": lambda s, d: _parsed(s, d, 2).select("resp_id", "ord", "reason"),
+    "tag_suspicions": lambda s, d: responses.tag_suspicions(_parsed(s, d, 1).drop("auditor_id", "pass_no"), "auditor-1", 2),
+    "agg_status": lambda s, d: aggregates.response_status(corpus.responses(s, d), _parsed(s, d, 0)),
+}
+
+# --- packing, passes, texts ----------------------------------------------------
+
+
+def _packed(s, d) -> DataFrame:
+    return packing.pack_initial(_files(s, d), BUDGET)
+
+
+def _passes(s, d) -> DataFrame:
+    return passes.plan_passes(_files(s, d), _notes(s, d), budget=BUDGET)
+
+
+def _context(s, d) -> DataFrame:
+    names = corpus.table(s, d, "documents").select("source").distinct()
+    found = _found(s, d)
+    text = retrieval.retrieve_format(corpus.project_queries(s, d), found)
+    return names.select(F.col("source").alias("project_id"), F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("query_id")).join(
+        text, "query_id").select("project_id", "context")
+
+
+def _prompts(s, d) -> DataFrame:
+    files = _files(s, d)
+    batches = packing.pack_next(files, corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn("pass_no", F.lit(2))
+    return render.prompts_in_order(render.prompt_rows(batches, files, _context(s, d), scan.lead_block(_all_leads(s, d)), _strong(s, d)))
+
+
+PACKING = {
+    "agg_project_size": lambda s, d: aggregates.classify_projects(_files(s, d), 32_768),
+    "agg_dominant_language": lambda s, d: aggregates.dominant_language(_files(s, d)),
+    "agg_coverage": lambda s, d: aggregates.coverage(_files(s, d), corpus.seen_files(s, d)),
+    "pack_initial": lambda s, d: _packed(s, d).withColumn("attack_score", F.round("attack_score", 2)),
+    "pack_suspicion": lambda s, d: packing.pack_suspicion(_files(s, d), _strong(s, d), BUDGET).withColumn("attack_score", F.round("attack_score", 2)),
+    "pack_next_pass": lambda s, d: packing.pack_next(_files(s, d), corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn(
+        "attack_score", F.round("attack_score", 2)),
+    "batch_tokens": lambda s, d: _packed(s, d).select("project_id", "batch_no", "est_tokens").distinct(),
+    "pass_plan": _passes,
+    "prompt_dataset": lambda s, d: _prompts(s, d).select("project_id", "batch_no", "section", "place", "path", F.md5("text").alias("text_md5")),
+    "render_map": lambda s, d: render.map_in_order(render.map_rows(_summaries(s, d), _injected(s, d))).select(
+        "project_id", "part", "path", "sub", "pass_no", "text"),
+}
+
+# --- ingest ------------------------------------------------------------------
+
+
+def _report_stream(s, d) -> DataFrame:
+    schema = corpus.table(s, d, "documents").schema
+    raw = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    return corpus.reports_of(raw).drop("doc_id")
+
+
+def _ingested(s, d, runs: int) -> DataFrame:
+    out = work_dir(s)
+    for n in range(runs):
+        ingest.ingest_stream(_report_stream(s, d), out, f"{out}/checkpoint-{n}").awaitTermination()
+    return s.read.parquet(f"{out}/chunks").select("rel_path", "section_no", "finding_id", "chunk_index", "page_content")
+
+
+def _chunks(s, d) -> DataFrame:
+    return ingest.chunk_reports(corpus.reports(s, d))
+
+
+def _scan_stream(s, d) -> DataFrame:
+    out = work_dir(s)
+    schema = corpus.table(s, d, "documents").schema
+    raw = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    ingest.scan_stream(features.featurize_files(corpus.files_of(raw)), f"{out}/leads", f"{out}/checkpoint").awaitTermination()
+    return s.read.parquet(f"{out}/leads").groupBy("project_id", "pattern_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _check(s, d) -> DataFrame:
+    docs = corpus.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"))
+    vecs = corpus.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("model-a").alias("model"))
+    return ingest.check_embeddings(docs, vecs)
+
+
+INGEST = {
+    "agg_run_stats": lambda s, d: aggregates.run_stats(corpus.reports(s, d), _chunks(s, d)),
+    "ingest_stream": lambda s, d: _ingested(s, d, 1),
+    "ingest_idempotent": lambda s, d: _ingested(s, d, 2),
+    "check_embeddings": _check,
+    "scan_stream": _scan_stream,
+}
+
+ALL = FEATURES | SCAN | REPORTS | JOINS | FINDINGS | RESPONSES | PACKING | VECTORS | INGEST

@@ -164,3 +164,355 @@ def report_sql() -> dict[str, str]:
         "finding_to_document": f"with {DOCS} select * from docs",
         "chunk_split": f"with {CHUNKS} select rel_path, section_no, finding_id, cast(chunk_index as int) as chunk_index, page_content from chunks",
     }
+
+
+# --- files -------------------------------------------------------------------
+
+def _rxm(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, {lit(pattern)})"
+
+
+SCORE = ("(case when " + _rxm("low", "transfer|withdraw|deposit|balance|stake|unstake|claim|fee|reward|pay|send|mint|burn") + " then 0.30 else 0 end"
+         " + case when " + _rxm("low", r"\.call\b|delegatecall|\.invoke|cpi::|cross.chain|callback|hook") + " then 0.25 else 0 end"
+         " + case when " + _rxm("low", r"onlyowner|onlyadmin|require.*msg\.sender|authority|role|permission|admin") + " then 0.15 else 0 end"
+         " + case when " + _rxm("low", r"mapping|storage\b|mut\s+\w|global\s+\w") + " then 0.10 else 0 end"
+         " + case when " + _rxm("low", "muldiv|wadmul|raymul|shares?|rate|index|price|oracle|twap") + " then 0.15 else 0 end"
+         " - case when " + _rxm("content", r"(?m)^interface\s+|//.*SPDX.*interface|pub\s+trait\s+") + " then 0.20 else 0 end)")
+
+IMPORT_PATTERNS = [r"""import\s+(?:\{[^}]+\}\s+from\s+)?["']([^"']+)["']""", r"(?m)^mod\s+(\w+)\s*;", r"use\s+[\w:]+::(\w+)",
+                   r'import\s+(?:\w+\s+)?"([^"]+)"']
+_ALL_IMPORTS = "list_concat(" + ", ".join(f"regexp_extract_all(content, {lit(p)}, 1)" for p in IMPORT_PATTERNS) + ")"
+
+FEATS = f"""{FILES},
+f0 as (select *, lower(content) as low from files),
+f1 as (select *, {SCORE} as s0, {LANGUAGE} as language, length(content) as size,
+  list_filter({_ALL_IMPORTS}, lambda x, i: list_position({_ALL_IMPORTS}, x) = i) as imports from f0),
+feats as (select doc_id, project_id, path, content, lines, language, size, imports,
+  greatest(0.0, least(1.0, s0 - case when s0 < 0.2 and regexp_matches(content, '(?m)^library\\s+\\w+\\s*\\{{') then 0.1 else 0 end))::double as attack_score from f1),
+seen as (select f.project_id, f.path from files f where doc_id in (select doc_id from labels))"""
+
+FIRST = "(select project_id, path as first from feats qualify row_number() over (partition by project_id order by attack_score desc, path) = 1)"
+
+
+def _skip() -> str:
+    from codesift.operators.features import SKIP_DIRS, SKIP_DIRS_ANY_CASE, SKIP_NAMES, SKIP_SUFFIXES_ANY_CASE
+
+    def hit(x: str) -> str:
+        return "(" + " or ".join([
+            _rxm(x, rf"(^|/)({SKIP_DIRS})/"), _rxm(x, rf"(?i)(^|/)({SKIP_DIRS_ANY_CASE})/"), _rxm(x, "__pycache__/"),
+            _rxm(x, rf"({SKIP_NAMES})$"), _rxm(x, rf"(?i)({SKIP_SUFFIXES_ANY_CASE})$")]) + ")"
+
+    # Walk the tree: at each level both the relative path and the bare name are tested.
+    return (f"with {FILES}, w as (select project_id, path, string_split(path, '/') as p from files) select project_id, path from w "
+            f"where len(list_filter(range(1, len(p) + 1), lambda i: {hit(chr(97) + 'rray_to_string(p[1:i], chr(47))')} or {hit('p[i]')})) = 0")
+
+
+FALLBACK = "language || ' file with ' || len(imports) || ' import(s). Score: ' || printf('%.2f', attack_score) || '.'"
+TRIVIAL = "'Small ' || language || ' file — likely interface, constants, or stub.'"
+SUMMARIES = f"""summaries as (select *, attack_score > 0.8 as given,
+  case when size < 200 then {TRIVIAL} when attack_score > 0.8 then 'Moves value in ' || path else {FALLBACK} end as summary,
+  case when size >= 200 and attack_score > 0.8 then 'run()' else '' end as entry_points,
+  case when size >= 200 and attack_score > 0.8 then 'Oracle.sol, Pool.sol' else array_to_string(imports, ', ') end as deps from feats)"""
+LN = "ln as (select project_id, path, unnest(lines) as line, generate_subscripts(lines, 1) as line_no from files)"
+NAME = ("case when len(string_split(first, '/')) = 1 then 'Protocol' when string_split(first, '/')[1] = '.' "
+        "then string_split(first, '/')[2] else string_split(first, '/')[1] end")
+
+
+def features_sql() -> dict[str, str]:
+    from codesift.workloads.oracle_scan import COMMENT
+
+    f = f"with {FEATS}"
+    return {
+        "path_skip_filter": _skip(),
+        "binary_filter": """with t as (select source as project_id, cast(doc_id as varchar) as path,
+            case when doc_id % 3 = 0 then replace(text, 'e', chr(1)) else text end as content from documents)
+            select project_id, path from t where not coalesce(len(regexp_extract_all(content, '[\\x00-\\x08\\x0e-\\x1f\\x7f]')) / nullif(length(content), 0) > 0.05, false)""",
+        "comment_filter": f"with {FILES}, {LN} select project_id, path, count(*) as n_lines, cast(sum(line_no) as bigint) as sum_line_no from ln where not {COMMENT} group by all",
+        "confidence_filter": f"with {NOTES} select project_id, target_file, confidence from notes where confidence >= 0.7",
+        "score_filter": f"{f} select project_id, path from feats where attack_score > 0.1 and (project_id, path) not in (select (project_id, path) from seen)",
+        "join_unseen": f"{f} select project_id, path from feats where (project_id, path) not in (select (project_id, path) from seen)",
+        "resume_filter": f"with {REPORTS} select rel_path from reports where doc_id not in (select doc_id from labels)",
+        "detect_language": f"with {FILES} select project_id, path, {LANGUAGE} as language from files",
+        "attack_score": f"{f} select project_id, path, round(attack_score, 2) as attack_score from feats",
+        "extract_imports": f"{f} select project_id, path, array_to_string(imports, '|') as imports from feats",
+        "build_source_file": f"{f} select project_id, path, language, size, round(attack_score, 2) as attack_score, cast(len(imports) as int) as n_imports, md5(content) as content_md5 from feats",
+        "file_context": f"""with {FILES} select project_id, path, contains(lower(content), 'safetransfer(') or contains(lower(content), 'safetransferfrom(') as has_safe_erc20,
+            contains(lower(content), 'nonreentrant') or contains(lower(content), 'reentrancyguard') as has_reentrancy_guard,
+            contains(lower(content), 'chainid') as has_chain_id, contains(lower(content), 'using safemath for') as has_safe_math, {MINOR} as pragma_minor from files""",
+        "trivial_summary": f"{f} select project_id, path, case when size < 200 then {TRIVIAL} else {FALLBACK} end as summary, array_to_string(imports, ', ') as deps from feats",
+        "fallback_summary": f"{f}, {SUMMARIES} select project_id, path, summary, entry_points, deps from summaries",
+        "project_name": f"{f} select project_id, {NAME} as name from {FIRST}",
+        "function_signatures": f"{f} select f.project_id, f.path, array_to_string(regexp_extract_all(content, 'function \\w+\\([^)]*\\)[^{{]*')[1:10], chr(10)) as signatures "
+                               "from feats f join (select project_id, path from feats qualify row_number() over (partition by project_id order by attack_score desc, path desc) = 1) b "
+                               "on f.project_id = b.project_id and f.path = b.path",
+        "count_in_line": f"with {FILES} select project_id, path, len(regexp_extract_all(content, ',')) as commas, len(regexp_extract_all(content, '\\{{')) as opened, "
+                         "len(regexp_extract_all(content, '\\}')) as closed from files",
+        "explode_lines": f"with {FILES}, {LN} select project_id, path, cast(line_no as int) as line_no, line from ln",
+        "explode_imports": f"{f} select project_id, path, unnest(imports) as import from feats",
+        "sort_attack_score": f"{f} select project_id, path, round(attack_score, 2) as attack_score from feats order by attack_score desc, project_id, path",
+    }
+
+
+# --- rule scan ---------------------------------------------------------------
+
+LEAD_COLS = "project_id, pattern_id, severity, confidence, file, line_no, snippet"
+
+
+def _all_leads() -> str:
+    from codesift.workloads import oracle_scan as o
+
+    part = o.leads_cte(list(o.RULES))
+    moved = o.DISPLACED.split(",\nln as", 1)[1].replace("leads as", "leads_b as").replace("ln.", "ln_b.").replace(" ln ", " ln_b ").replace("from ln\n", "from ln_b\n")
+    loops = o.LOOPS.split(",\nln as", 1)[1].replace("leads as", "leads_c as").replace(" ln ", " ln_c ")
+    cols = LEAD_COLS
+    return (f"{part},\nln_b as{moved},\nln_c as{loops.replace('anchors', 'anchors_c')},\n"
+            f"every as (select {cols} from leads union all select {cols} from leads_b union all select {cols} from leads_c)")
+
+
+def scan_sql() -> dict[str, str]:
+    from codesift.workloads import oracle_scan as o
+    from codesift.workloads.catalog import FAMILIES, rule_ids
+
+    out = {name: o.leads_cte(rule_ids(name)) + " select * exclude (verify) from leads" for name in FAMILIES}
+    every = _all_leads()
+    rank = "case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end"
+    texts = "(" + ", ".join(f"({lit(k[:7])}, {lit(m[0])}, cast({m[1]} as double), {lit(m[3])}, {lit(m[4])}, {lit(m[2])})" for k, m in o.MESSAGES.items()) + ")"
+    del texts
+    out |= {
+        "scan_displaced": f"{o.DISPLACED} select {LEAD_COLS} from leads",
+        "scan_brace_depth": f"{o.LOOPS} select {LEAD_COLS} from leads where severity = 'HIGH'",
+        "scan_nesting_count": f"{o.LOOPS} select {LEAD_COLS} from leads where severity = 'MEDIUM'",
+        "lead_rank": f"{every} select * from every",
+        "lead_summary": f"""{every}, cats as (select distinct substr(branch, 1, 7) as pattern_id, category from messages)
+            select project_id, severity, category, count(*) as n_leads from every join cats using (pattern_id) group by all""",
+        "lead_block": f"""{every},
+            full_leads as (select e.*, coalesce(l.signal, m.signal) as signal, m.verify from every e
+              join (select substr(branch, 1, 7) as pattern_id, severity, confidence, signal, verify from messages
+                    qualify row_number() over (partition by substr(branch, 1, 7), severity, confidence order by branch) = 1) m using (pattern_id, severity, confidence)
+              left join leads l on l.project_id = e.project_id and l.file = e.file and l.line_no = e.line_no and l.pattern_id = e.pattern_id),
+            top as (select *, row_number() over (partition by project_id order by confidence desc, {rank}, file, line_no, pattern_id) as rn,
+                    count(*) over (partition by project_id) as found from full_leads)
+            select project_id, '=== PRE-SCAN LEADS — verify these first (' || count(*) || ' of ' || any_value(found) || ' found) ===' || chr(10) || chr(10)
+              || string_agg('[LEAD-' || rn || '] ' || pattern_id || ' | ' || severity || ' | confidence:' || cast(round(confidence * 100) as int) || '% | ' || file || ':' || line_no
+                || chr(10) || '  Code:   ' || left(snippet, 120) || chr(10) || '  Signal: ' || signal || chr(10) || '  Verify: ' || verify || chr(10), chr(10) order by rn)
+              || chr(10) || 'After verifying each lead, apply methodology to find what the scanner missed.' || chr(10)
+              || 'A genuine zero-finding result is extremely rare. If leads look like false positives,' || chr(10)
+              || 'explain why specifically before concluding — do not silently dismiss.' || chr(10) || '===' as block
+            from top where rn <= 8 group by project_id""",
+    }
+    return out
+
+
+# --- joins -------------------------------------------------------------------
+
+NOTES = f"""{FILES},
+notes as (select project_id,
+  case doc_id % 4 when 0 then path when 1 then string_split(path, '/')[-1] when 2 then 'C' || doc_id || '.' else 'repo/' || path end as target_file,
+  case when doc_id % 3 = 0 then 'withdraw()' end as target_function, 'review the flow of C' || doc_id as reason,
+  (doc_id * 37 % 100 / 100.0)::double as confidence, 'auditor-' || (doc_id % 3 + 1) as auditor_id, cast(doc_id % 2 + 1 as int) as pass_no from files)"""
+
+MATCH = ("(n.target_file = f.path or string_split(n.target_file, '/')[-1] = string_split(f.path, '/')[-1] "
+         "or contains(f.path, n.target_file) or contains(n.target_file, f.path))")
+NOTES_FEATS = NOTES + FEATS[len(FILES):]
+STRONG = f"""{NOTES_FEATS},
+targets as (select * from feats f where exists (select 1 from notes n where n.project_id = f.project_id and n.confidence >= 0.9 and {MATCH})),
+neighbours as (select * from feats f where not exists (select 1 from targets t where t.project_id = f.project_id and t.path = f.path)
+  and exists (select 1 from targets t where t.project_id = f.project_id and (
+    len(list_filter(t.imports, lambda x: contains(f.path, x) or contains(x, string_split(f.path, '/')[-1]))) > 0
+    or len(list_filter(f.imports, lambda x: contains(t.path, x) or contains(x, string_split(t.path, '/')[-1]))) > 0)))"""
+INJECTED = f"""injected as (select f.project_id, f.path, n.pass_no,
+  case when target_function is not null then target_function || ': ' else '' end || reason || ' [confidence: ' || confidence || ']' as note
+  from notes n join files f on n.project_id = f.project_id and {MATCH} where n.confidence >= 0.7)"""
+
+
+def joins_sql() -> dict[str, str]:
+    return {
+        "join_fuzzy_path": f"with {NOTES} select distinct n.project_id, n.target_file, f.path from notes n join files f on n.project_id = f.project_id and {MATCH}",
+        "join_suspicion_targets": f"with {STRONG} select project_id, path from targets",
+        "join_import_neighbours": f"with {STRONG} select project_id, path from neighbours",
+        "join_inject_suspicions": f"with {NOTES}, {INJECTED} select * from injected",
+    }
+
+
+# --- findings ----------------------------------------------------------------
+
+def _found_sql() -> str:
+    from codesift.workloads import corpus as c
+
+    title = (f"{lst(c.WORD_A)}[(l_partkey * 7 + l_linenumber) % 12 + 1] || ' ' || {lst(c.WORD_B)}[(l_partkey * 3 + l_suppkey) % 16 + 1] || ' in fn' "
+             "|| ((l_orderkey * 11 + l_partkey * 5 + l_linenumber * 17) % 50) || '()'")
+    return f"""
+fnd as (select l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber as finding_id, 'P' || (l_orderkey // 500) as project_id,
+  'src/F' || (l_partkey % 40) || '.sol' as file, cast((l_partkey * 7 + l_linenumber * 13 + l_suppkey) % 400 as int) as line,
+  {lst(c.AUDITORS)}[l_suppkey % 3 + 1] as auditor_id, cast(l_linenumber % 3 as int) as pass_no, {lst(c.PASS_KINDS)}[l_linenumber % 3 + 1] as pass_kind,
+  {lst(c.SEVERITIES)}[(l_partkey * 3 + l_linenumber * 7 + l_suppkey) % 5 + 1] as severity,
+  {lst(c.CATEGORIES)}[(l_partkey + l_orderkey * 5 + l_linenumber) % 6 + 1] as category, {title} as title from lineitem)"""
+
+
+FND = _found_sql()
+TOK = f"""{FND},
+tok as (select *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda t: t <> ''))) as tokens from fnd)"""
+JAC = "len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.5"
+KEYED = f"""recursive {TOK},
+pairs as (select a.finding_id as a, b.finding_id as b from tok a join tok b on a.project_id = b.project_id and a.file = b.file and a.finding_id <> b.finding_id
+  where ({JAC}) or (a.category = b.category and abs(a.line - b.line) <= 5)),
+reach(id, root) as (select finding_id, finding_id from fnd union select p.b, r.root from reach r join pairs p on p.a = r.id),
+keyed as (select f.*, k.merge_key from fnd f join (select id, min(root) as merge_key from reach group by id) k on k.id = f.finding_id)"""
+SEV = "case severity when 'Critical' then 0 when 'High' then 1 when 'Medium' then 2 when 'Low' then 3 else 4 end"
+MERGED = f"""{KEYED},
+lead as (select * from keyed qualify row_number() over (partition by merge_key order by {SEV}, finding_id) = 1),
+merged as (select l.project_id, l.file, l.merge_key, l.severity, l.title, l.line, l.category, a.auditors, a.n_findings,
+   least(1.0, round(0.6 + 0.2 * (a.n_auditors - 1), 6))::double as confidence
+ from lead l join (select merge_key, string_agg(distinct auditor_id, ',' order by auditor_id) as auditors, count(*) as n_findings,
+   count(distinct auditor_id) as n_auditors from keyed group by merge_key) a using (merge_key))"""
+
+
+def findings_sql() -> dict[str, str]:
+    head = " || chr(10) || ".join(f"'| {s} | ' || count(*) filter (where severity = '{s}') || ' |'" for s in ("Critical", "High", "Medium", "Low", "Info"))
+    valid = responses_sql()["parse_findings"]
+    return {
+        "finding_validity": f"select resp_id, ord, severity, title, line from ({valid})",
+        "union_findings": f"with {FND} select finding_id, project_id, file, auditor_id, pass_no from fnd",
+        "join_near_duplicate": f"with {KEYED} select finding_id, project_id, file, merge_key from keyed",
+        "agg_finding_merge": f"with {MERGED} select * from merged",
+        "agg_weighted_confidence": f"""with {KEYED}, v as (select project_id, file, merge_key, auditor_id,
+            max(case pass_kind when 'targeted' then 1.3 when 'verification' then 1.6 else 1.0 end) as w from keyed group by all)
+            select project_id, file, merge_key, round(sum(w) / 3, 6)::double as weighted_confidence from v group by all""",
+        "agg_severity_counts": f"""with {FND} select p.project_id, s.severity, count(f.finding_id) as n from (select distinct project_id from fnd) p
+            cross join (select unnest(['Critical','High','Medium','Low','Info']) as severity) s left join fnd f using (project_id, severity) group by all""",
+        "sort_report": f"with {MERGED} select project_id, severity, confidence, file, merge_key from merged order by project_id, {SEV}, confidence desc, file, merge_key",
+        "fallback_findings": f"with {FND} select project_id, finding_id, 0.6::double as confidence, auditor_id as auditors from fnd "
+                             "qualify row_number() over (partition by project_id order by finding_id) <= 20",
+        "eval_coverage": f"""with {TOK}, truth as (select * from tok where auditor_id = 'auditor-1'),
+            s as (select a.finding_id as truth_id, b.auditor_id, max(case when {JAC} then 2 when abs(a.line - b.line) <= 5 then 1 else 0 end) as hit
+              from truth a join tok b on a.project_id = b.project_id and a.file = b.file group by all)
+            select finding_id as truth_id, case s2.hit when 2 then 'found' when 1 then 'partial' else 'missed' end as auditor_2,
+              case s3.hit when 2 then 'found' when 1 then 'partial' else 'missed' end as auditor_3
+            from truth t left join s s2 on s2.truth_id = t.finding_id and s2.auditor_id = 'auditor-2'
+            left join s s3 on s3.truth_id = t.finding_id and s3.auditor_id = 'auditor-3'""",
+        "render_report": f"""with {MERGED},
+            heads as (select project_id, 0 as part, '' as merge_key,
+              '# Security Audit Report' || chr(10) || chr(10) || '**Generated:** 2024-01-01T00:00:00Z' || chr(10) || '**Duration:** 1.0s' || chr(10)
+              || '**Files audited:** ' || any_value(n_files) || chr(10) || '**Auditors:** model-a, model-b' || chr(10) || '**Supervisor:** rules' || chr(10) || chr(10)
+              || '## Summary' || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|----------|-------|' || chr(10) || {head}
+              || chr(10) || chr(10) || '**Total findings:** ' || count(*) || chr(10) || chr(10) || '## Findings' || chr(10) as text
+              from merged join (select project_id, count(distinct file) as n_files from fnd group by all) using (project_id) group by project_id),
+            blocks as (select project_id, 1 as part, merge_key, '### [' || severity || '] ' || title || chr(10) || chr(10) || '**File:** `' || file || '` (line ' || line || ')' || chr(10)
+              || '**Confidence:** ' || cast(round(confidence * 100) as int) || '%' || chr(10) || '**Flagged by:** ' || replace(auditors, ',', ', ') || chr(10) || chr(10)
+              || '**Description:** What goes wrong: ' || title || chr(10) || chr(10) || '**Exploit:** Call it twice in ' || file || chr(10) || chr(10)
+              || '**Recommendation:** Add a guard in ' || file || chr(10) || chr(10) || '---' || chr(10) as text from merged)
+            select * from heads union all select * from blocks""",
+    }
+
+
+# --- responses ---------------------------------------------------------------
+
+def _responses_cte() -> str:
+    from codesift.workloads import corpus as c
+
+    def item(sev: str, title: str, line: str) -> str:
+        return (f"'{{\"severity\": \"' || {sev} || '\", \"title\": \"' || {title} || '\", \"file\": \"src/F' || (o_orderkey % 40) || '.sol\", \"line\": ' || {line} "
+                "|| ', \"description\": \"The order ' || o_orderkey || ' is paid twice here\", \"exploit\": \"Pay order ' || o_orderkey "
+                "|| ' twice\", \"recommendation\": \"Mark it as paid\"}'")
+
+    first = item(f"{lst([*c.SEVERITIES, 'Severe'])}[o_orderkey % 6 + 1]", "'Order ' || o_orderkey", "(o_orderkey % 300)")
+    second = item(f"{lst(c.SEVERITIES)}[o_orderkey % 5 + 1]", "case when o_orderkey % 7 = 0 then 'Tiny' else 'Second look' end",
+                  "case o_orderkey % 11 when 0 then '-1' when 1 then '1.5' else cast(o_orderkey % 90 as varchar) end")
+    return f"""
+r0 as (select o_orderkey as resp_id, {lst(c.AUDITORS)}[o_custkey % 3 + 1] as auditor_id, cast(o_orderkey % 3 + 1 as int) as pass_no, (o_orderkey // 6) % 6 as kind,
+  '[' || {first} || ', ' || {second} || ']' as arr,
+  '[{{"targetFile": "src/F' || (o_orderkey % 40) || '.sol", "reason": "looks odd in order ' || o_orderkey || '", "confidence": '
+   || case when o_orderkey % 13 = 0 then '1.5' else cast((o_orderkey % 100 / 100.0)::double as varchar) end || '}}]' as note from orders),
+responses as (select resp_id, auditor_id, pass_no, case kind when 0 then '<think>balances[a] {{x}}</think>' || chr(10) || arr
+  when 1 then 'Here:' || chr(10) || '```json' || chr(10) || '{{"findings": ' || arr || '}}' || chr(10) || '```' || chr(10) || 'Done.'
+  when 2 then arr when 3 then 'The result follows: ' || arr when 4 then arr || chr(10) || 'SUSPICIONS:' || chr(10) || note
+  else left(arr, length(arr) - 2) end as raw from r0),
+stripped as (select *, trim(regexp_replace(raw, '(?is)<think>.*?</think>', '', 'g'), {WS}) as text from responses),
+split as (select *, trim(case when contains(text, 'SUSPICIONS:') then left(text, instr(text, 'SUSPICIONS:') - 1) else text end, {WS}) as body,
+  trim(case when contains(text, 'SUSPICIONS:') then substr(text, instr(text, 'SUSPICIONS:') + 11) else '' end, {WS}) as tail from stripped)"""
+
+
+def _found_json(text: str) -> str:
+    fence = f"trim(regexp_extract({text}, '(?s)```(?:json)?\\s*(.*?)```', 1), {WS})"
+    scan = (f"list_filter(range(length({text}), 0, -1), lambda p: substr({text}, p, 1) = '{{m}}' and json_valid(substr({text}, p)))[1]")
+    right = f"coalesce(substr({text}, {scan.replace('{m}', '[')}), substr({text}, {scan.replace('{m}', '{')}))"
+    return f"case when {text} = '' then null when json_valid({text}) then {text} when json_valid({fence}) then {fence} else {right} end"
+
+
+RESP = f"""{_responses_cte()},
+js as (select *, {_found_json('body')} as body_json, {_found_json('tail')} as tail_json from split),
+items as (select resp_id, auditor_id, pass_no, unnest(json_extract(arr, '$[*]')) as j, generate_subscripts(json_extract(arr, '$[*]'), 1) - 1 as ord
+  from (select *, case when json_type(body_json) = 'ARRAY' then body_json::json else json_extract(body_json, '$.findings') end as arr from js where body_json is not null)),
+typed as (select *, json_type(j, '$.line') in ('BIGINT', 'UBIGINT', 'DOUBLE') and try_cast(j ->> '$.line' as double) >= 0
+    and try_cast(j ->> '$.line' as double) = floor(try_cast(j ->> '$.line' as double)) and json_type(j, '$.severity') = 'VARCHAR'
+    and (j ->> '$.severity') in ('Critical', 'High', 'Medium', 'Low', 'Info') and length(j ->> '$.title') >= 5 and (j ->> '$.file') is not null
+    and length(j ->> '$.description') >= 20 and length(j ->> '$.exploit') >= 10 and length(j ->> '$.recommendation') >= 10 as valid from items),
+notes_all as (select resp_id, auditor_id, pass_no, unnest(json_extract(tail_json, '$[*]')) as j, generate_subscripts(json_extract(tail_json, '$[*]'), 1) - 1 as ord
+  from js where tail_json is not null)"""
+
+
+def responses_sql() -> dict[str, str]:
+    r = f"with {RESP}"
+    note_ok = "length(j ->> '$.reason') >= 10 and try_cast(j ->> '$.confidence' as double) between 0 and 1 and (j ->> '$.targetFile') is not null"
+    note = ("cast(ord as int) as ord, j ->> '$.targetFile' as target_file, j ->> '$.targetFunction' as target_function, j ->> '$.reason' as reason, "
+            "try_cast(j ->> '$.confidence' as double) as confidence")
+    return {
+        "strip_think": f"with {_responses_cte()} select resp_id, text from stripped",
+        "split_suspicions": f"with {_responses_cte()} select resp_id, body, tail from split",
+        "extract_json": f"{r} select resp_id, body_json as found from js",
+        "explode_responses": f"{r} select resp_id, cast(ord as int) as ord, j ->> '$.title' as title from items",
+        "parse_findings": f"""{r} select resp_id, auditor_id, pass_no, cast(ord as int) as ord, j ->> '$.severity' as severity, j ->> '$.title' as title, j ->> '$.file' as file,
+            cast(cast(j ->> '$.line' as double) as int) as line, j ->> '$.description' as description, j ->> '$.exploit' as exploit, j ->> '$.recommendation' as recommendation
+            from typed where valid""",
+        "parse_suspicions": f"{r} select resp_id, auditor_id, pass_no, {note} from notes_all where {note_ok}",
+        "parse_rejects": f"""{r} select resp_id, cast(null as int) as ord, 'no JSON' as reason from js where body_json is null and body <> ''
+            union all select resp_id, cast(ord as int), 'finding not valid' from typed where not coalesce(valid, false)
+            union all select resp_id, cast(ord as int), 'note not valid' from notes_all where not coalesce({note_ok}, false)""",
+        "tag_suspicions": f"{r} select resp_id, {note}, 'auditor-1' as auditor_id, 2 as pass_no from notes_all where {note_ok}",
+        "agg_status": f"""{r}, n as (select resp_id, count(*) as n from typed where valid group by all)
+            select auditor_id, case when raw is null then 'failed' when n > 0 then 'ok' else 'empty' end as status, count(*) as n
+            from responses left join n using (resp_id) group by all""",
+    }
+
+
+# --- packing and texts ---------------------------------------------------------
+
+def packing_sql() -> dict[str, str]:
+    f = f"with {FEATS}"
+    rule = "repeat('═', 52)"
+    score = "case when attack_score > 0 then printf(' score:%.2f', attack_score) else '' end"
+    return {
+        "agg_project_size": f"{f} select project_id, cast(sum(size) as bigint) as total_chars, case when sum(size) <= 84288 * 0.85 then 'small' "
+                            "when sum(size) <= 84288 * 3 then 'medium' else 'large' end as project_size from feats group by project_id",
+        "agg_dominant_language": f"{f} select project_id, language from (select project_id, language, count(*) as n from feats group by all) "
+                                 "qualify row_number() over (partition by project_id order by n desc, language desc) = 1",
+        "agg_coverage": f"{f} select project_id, bool_and(attack_score <= 0.3 or (project_id, path) in (select (project_id, path) from seen)) as covered from feats group by project_id",
+        "render_map": f"""with {NOTES_FEATS}, {SUMMARIES}, {INJECTED},
+            about as (select s.project_id, '{{h}}PROTOCOL MAP — ' || name || ' (' || n || ' files · ' || language || ')' || chr(10) || {rule} || chr(10) as text from
+              (select project_id, count(*) as n from feats group by all) s join (select project_id, {NAME} as name from {FIRST}) using (project_id)
+              join (select project_id, language from (select project_id, language, count(*) as n from feats group by all)
+                qualify row_number() over (partition by project_id order by n desc, language desc) = 1) using (project_id))
+            select project_id, 0 as part, '' as path, 0 as sub, 0 as pass_no, replace(text, '{{h}}', '') as text from about
+            union all select project_id, 2, '', 0, 0, {rule} from about
+            union all select project_id, 1, path, 0, 0, '[' || path || ']' || {score} || chr(10) || '  What it does: ' || summary
+              || case when entry_points <> '' then chr(10) || '  Entry points: ' || entry_points else '' end
+              || case when deps <> '' then chr(10) || '  Calls into: ' || deps else '' end from summaries
+            union all select project_id, 1, path, 2, 0, '' from summaries
+            union all select project_id, 1, path, 1, pass_no, '  ⚠ Suspicion [Pass ' || pass_no || ']: ' || note from injected""",
+    }
+
+
+def ingest_sql() -> dict[str, str]:
+    chunks = f"with {CHUNKS} select rel_path, section_no, finding_id, cast(chunk_index as int) as chunk_index, page_content from chunks"
+    return {
+        "ingest_stream": chunks,
+        "ingest_idempotent": chunks,
+        "agg_run_stats": f"with {CHUNKS}, n as (select rel_path, count(*) as c from chunks group by all) select count(*) filter (where c > 0) as processed, "
+                         "count(*) filter (where c is null) as empty, 0::bigint as skipped, cast(coalesce(sum(c), 0) as bigint) as chunks from reports left join n using (rel_path)",
+        "check_embeddings": """select 1::bigint as models, cast(min(len(embedding)) as int) as min_dim, cast(max(len(embedding)) as int) as max_dim,
+            (select count(*) from documents where doc_id not in (select vec_id from embeddings)) as chunks_without_vector,
+            count(*) filter (where vec_id not in (select doc_id from documents)) as vectors_without_chunk,
+            (select count(*) from documents where doc_id not in (select vec_id from embeddings)) = 0
+              and count(*) filter (where vec_id not in (select doc_id from documents)) = 0 and min(len(embedding)) = max(len(embedding)) as ok from embeddings""",
+        "scan_stream": f"{_all_leads()} select project_id, pattern_id, count(*) as n from every group by all",
+    }
