@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codesift.functions.text import rank_of
 from codesift.operators.components import connected_components
+from codesift.session import cut_lineage
 
 SEVERITIES = ["Critical", "High", "Medium", "Low", "Info"]
 BASE_CONFIDENCE = 0.6
@@ -65,7 +66,7 @@ def near_duplicates(findings: DataFrame) -> DataFrame:
                              ["project_id", "file", "left_tokens"])
                   .join(titles.withColumnRenamed("tokens", "right_tokens").withColumnRenamed("name", "b"),
                         ["project_id", "file", "right_tokens"]).select("a", "b"))
-    placed = (marked.join(spot_of, ["project_id", "file", "category", "line"])
+    placed = cut_lineage(marked.join(spot_of, ["project_id", "file", "category", "line"])
               .join(titles, ["project_id", "file", "tokens"]).select("finding_id", "project_id", "file", "spot", "name"))
     # Nodes are ids; a spot and a title that share their smallest finding are one node.
     links = placed.select(F.col("spot").alias("a"), F.col("name").alias("b")).unionByName(name_links).filter(F.col("a") != F.col("b")).distinct()

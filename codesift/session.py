@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,6 +29,7 @@ def build_session(app: str = "codesift", master: str | None = None) -> SparkSess
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.codegen.hugeMethodLimit": "8000",
+        "spark.driver.memory": os.environ.get("CODESIFT_DRIVER_MEMORY", "8g"),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }.items():

@@ -90,7 +90,7 @@ from codesift.functions import features as ffx  # noqa: E402
 from codesift.functions.text import is_comment  # noqa: E402
 from codesift.operators import aggregates, features, merge, packing, paths, responses, scan  # noqa: E402
 from codesift.plans import passes, render  # noqa: E402
-from codesift.session import work_dir  # noqa: E402
+from codesift.session import cut_lineage, work_dir  # noqa: E402
 from codesift.streaming import ingest  # noqa: E402
 
 
@@ -98,6 +98,15 @@ def _files(s, d) -> DataFrame:
     return corpus.files(s, d)
 
 
+def _stored(s, d) -> DataFrame:
+    """The featurised files written once, for queries that read them many times."""
+    return cut_lineage(corpus.files(s, d))
+
+
+def _lean(s, d) -> DataFrame:
+    return cut_lineage(corpus.files(s, d).drop("content"))
+
+
 def _noisy(s, d) -> DataFrame:
     """Texts of which some carry many control characters."""
     docs = corpus.table(s, d, "documents").select("doc_id", "text", "source")
@@ -199,25 +208,31 @@ SCAN |= {
 # --- joins over files and notes ----------------------------------------------
 
 
-def _targets(s, d) -> DataFrame:
-    return paths.suspicion_targets(_strong(s, d), _files(s, d))
-
-
 def _strong(s, d) -> DataFrame:
     return paths.confidence_filter(_notes(s, d), 0.9)
 
 
+def _neighbours(s, d) -> DataFrame:
+    files = _lean(s, d)
+    return paths.import_neighbours(files, paths.suspicion_targets(_strong(s, d), files))
+
+
 def _injected(s, d) -> DataFrame:
-    return paths.inject_notes(_files(s, d), _notes(s, d))
+    return paths.inject_notes(_lean(s, d), _notes(s, d))
+
+
+def _summarized(s, d) -> DataFrame:
+    files = _lean(s, d)
+    rows = render.batch_summaries(packing.pack_initial(files, BUDGET), render.summarize_files(files))
+    return rows.groupBy("project_id", "batch_no").agg(F.count(F.lit(1)).alias("n_summaries"))
 
 
 JOINS = {
-    "join_fuzzy_path": lambda s, d: paths.fuzzy_path_join(_notes(s, d), _files(s, d)),
-    "join_suspicion_targets": lambda s, d: _targets(s, d).select(*_ID),
-    "join_import_neighbours": lambda s, d: paths.import_neighbours(_files(s, d), _targets(s, d)).select(*_ID),
+    "join_fuzzy_path": lambda s, d: paths.fuzzy_path_join(_notes(s, d), _lean(s, d)),
+    "join_suspicion_targets": lambda s, d: paths.suspicion_targets(_strong(s, d), _lean(s, d)).select(*_ID),
+    "join_import_neighbours": lambda s, d: _neighbours(s, d).select(*_ID),
     "join_inject_suspicions": _injected,
-    "join_summarized": lambda s, d: render.batch_summaries(packing.pack_initial(_files(s, d), BUDGET), render.summarize_files(_files(s, d))).groupBy(
-        "project_id", "batch_no").agg(F.count(F.lit(1)).alias("n_summaries")),
+    "join_summarized": _summarized,
 }
 
 # --- findings ----------------------------------------------------------------
@@ -296,41 +311,48 @@ RESPONSES = {
 # --- packing, passes, texts ----------------------------------------------------
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("attack_score", F.round("attack_score", 2))
+
+
 def _packed(s, d) -> DataFrame:
-    return packing.pack_initial(_files(s, d), BUDGET)
+    return packing.pack_initial(_lean(s, d), BUDGET)
 
 
 def _passes(s, d) -> DataFrame:
-    return passes.plan_passes(_files(s, d), _notes(s, d), budget=BUDGET)
+    return passes.plan_passes(_lean(s, d), _notes(s, d), budget=BUDGET)
 
 
 def _context(s, d) -> DataFrame:
     names = corpus.table(s, d, "documents").select("source").distinct()
-    found = _found(s, d)
-    text = retrieval.retrieve_format(corpus.project_queries(s, d), found)
+    text = retrieval.retrieve_format(corpus.project_queries(s, d), _found(s, d))
     return names.select(F.col("source").alias("project_id"), F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("query_id")).join(
         text, "query_id").select("project_id", "context")
 
 
 def _prompts(s, d) -> DataFrame:
-    files = _files(s, d)
-    batches = packing.pack_next(files, corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn("pass_no", F.lit(2))
-    return render.prompts_in_order(render.prompt_rows(batches, files, _context(s, d), scan.lead_block(_all_leads(s, d)), _strong(s, d)))
+    files = _stored(s, d)
+    batches = cut_lineage(packing.pack_next(files, corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn("pass_no", F.lit(2)))
+    return render.prompts_in_order(render.prompt_rows(batches, files, _context(s, d), scan.lead_block(scan.rule_scan(files)), _strong(s, d)))
+
+
+def _map(s, d) -> DataFrame:
+    files = _lean(s, d)
+    summaries = cut_lineage(render.summarize_files(files, _supplied(files)))
+    return render.map_in_order(render.map_rows(summaries, paths.inject_notes(files, _notes(s, d))))
 
 
 PACKING = {
     "agg_project_size": lambda s, d: aggregates.classify_projects(_files(s, d), 32_768),
     "agg_dominant_language": lambda s, d: aggregates.dominant_language(_files(s, d)),
     "agg_coverage": lambda s, d: aggregates.coverage(_files(s, d), corpus.seen_files(s, d)),
-    "pack_initial": lambda s, d: _packed(s, d).withColumn("attack_score", F.round("attack_score", 2)),
-    "pack_suspicion": lambda s, d: packing.pack_suspicion(_files(s, d), _strong(s, d), BUDGET).withColumn("attack_score", F.round("attack_score", 2)),
-    "pack_next_pass": lambda s, d: packing.pack_next(_files(s, d), corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn(
-        "attack_score", F.round("attack_score", 2)),
+    "pack_initial": lambda s, d: _rounded(_packed(s, d)),
+    "pack_suspicion": lambda s, d: _rounded(packing.pack_suspicion(_lean(s, d), _strong(s, d), BUDGET)),
+    "pack_next_pass": lambda s, d: _rounded(packing.pack_next(_lean(s, d), corpus.seen_files(s, d), _strong(s, d), BUDGET)),
     "batch_tokens": lambda s, d: _packed(s, d).select("project_id", "batch_no", "est_tokens").distinct(),
     "pass_plan": _passes,
     "prompt_dataset": lambda s, d: _prompts(s, d).select("project_id", "batch_no", "section", "place", "path", F.md5("text").alias("text_md5")),
-    "render_map": lambda s, d: render.map_in_order(render.map_rows(_summaries(s, d), _injected(s, d))).select(
-        "project_id", "part", "path", "sub", "pass_no", "text"),
+    "render_map": lambda s, d: _map(s, d).select("project_id", "part", "path", "sub", "pass_no", "text"),
 }
 
 # --- ingest ------------------------------------------------------------------
