@@ -21,27 +21,32 @@ def title_tokens(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z0-9]+", -1), lambda t: t != "")))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """left/right(project_id, file, tokens) -> distinct (project_id, file,
-    left_tokens, right_tokens) at or above the Jaccard bound.
+def similar_titles(left: DataFrame, right: DataFrame, jaccard: float = JACCARD, other: bool = False) -> DataFrame:
+    """left/right(id, project_id, file, tokens) -> distinct (left_id, right_id) of a
+    file at or above the Jaccard bound; ``other`` keeps pairs with left_id < right_id.
 
     Sets that reach the bound share a token among the rarest of each (prefix
     filtering), so only those rare tokens are joined.
     """
-    left, right = (df.select("project_id", "file", "tokens").filter(F.size("tokens") > 0).distinct() for df in (left, right))
+    left, right = (df.select("id", "project_id", "file", "tokens").filter(F.size("tokens") > 0) for df in (left, right))
     words = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
     def prefixes(df: DataFrame) -> DataFrame:
         place = df.withColumn("token", F.explode("tokens")).join(words, "token")
-        by_set = place.groupBy("project_id", "file", "tokens").agg(
+        by_set = place.groupBy("id").agg(
+            F.first("project_id").alias("project_id"), F.first("file").alias("file"), F.first("tokens").alias("tokens"),
             F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))  # as long as one title
         keep = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(jaccard) - 1e-9).cast("int") + 1
-        return by_set.select("project_id", "file", "tokens", F.explode(F.slice("rare", F.lit(1), keep)["token"]).alias("token"))
+        return by_set.select("id", "project_id", "file", "tokens", F.explode(F.slice("rare", F.lit(1), keep)["token"]).alias("token"))
 
-    pairs = (prefixes(left).withColumnRenamed("tokens", "left_tokens")
-             .join(prefixes(right).withColumnRenamed("tokens", "right_tokens"), ["project_id", "file", "token"]))
-    overlap = F.size(F.array_intersect("left_tokens", "right_tokens")) / F.size(F.array_union("left_tokens", "right_tokens"))
-    return pairs.filter(overlap >= jaccard).select("project_id", "file", "left_tokens", "right_tokens").distinct()
+    pairs = (prefixes(left).withColumnsRenamed({"tokens": "left_tokens", "id": "left_id"})
+             .join(prefixes(right).withColumnsRenamed({"tokens": "right_tokens", "id": "right_id"}), ["project_id", "file", "token"]))
+    if other:
+        pairs = pairs.filter(F.col("left_id") < F.col("right_id"))
+    # The overlap test comes before the shuffle that removes repeated pairs.
+    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
+    overlap = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
+    return pairs.filter(overlap >= jaccard).select("left_id", "right_id").distinct()
 
 
 def near_duplicates(findings: DataFrame) -> DataFrame:
@@ -60,14 +65,11 @@ def near_duplicates(findings: DataFrame) -> DataFrame:
     chains = spots.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(by_line))
     heads = chains.groupBy("project_id", "file", "category", "chain").agg(F.min("low").alias("spot"))
     spot_of = chains.join(heads, ["project_id", "file", "category", "chain"]).select("project_id", "file", "category", "line", "spot")
-    titles = marked.groupBy("project_id", "file", "tokens").agg(F.min("finding_id").alias("name"))
-    alike = similar_titles(titles, titles).filter(F.col("left_tokens") != F.col("right_tokens"))
-    name_links = (alike.join(titles.withColumnRenamed("tokens", "left_tokens").withColumnRenamed("name", "a"),
-                             ["project_id", "file", "left_tokens"])
-                  .join(titles.withColumnRenamed("tokens", "right_tokens").withColumnRenamed("name", "b"),
-                        ["project_id", "file", "right_tokens"]).select("a", "b"))
+    titles = marked.groupBy("project_id", "file", "tokens").agg(F.min("finding_id").alias("id"))
+    name_links = similar_titles(titles, titles, other=True).toDF("a", "b")
     placed = cut_lineage(marked.join(spot_of, ["project_id", "file", "category", "line"])
-              .join(titles, ["project_id", "file", "tokens"]).select("finding_id", "project_id", "file", "spot", "name"))
+                         .join(titles.withColumnRenamed("id", "name"), ["project_id", "file", "tokens"])
+                         .select("finding_id", "project_id", "file", "spot", "name"))
     # Nodes are ids; a spot and a title that share their smallest finding are one node.
     links = placed.select(F.col("spot").alias("a"), F.col("name").alias("b")).unionByName(name_links).filter(F.col("a") != F.col("b")).distinct()
     roots = connected_components(links)
@@ -129,15 +131,17 @@ def sort_report(findings: DataFrame) -> DataFrame:
 
 
 def eval_coverage(truth: DataFrame, findings: DataFrame, models: list[str]) -> DataFrame:
-    """truth(truth_id, project_id, file, line, title) against findings(..., auditor_id)
-    -> one row per expected finding, one found/partial/missed column per model."""
+    """truth(truth_id, project_id, file, line, title) against findings(finding_id,
+    ..., auditor_id) -> one row per expected finding, one found/partial/missed column per model."""
     want = truth.select("truth_id", "project_id", "file", "line", title_tokens(F.col("title")).alias("tokens"))
-    got = findings.select("project_id", "file", "line", title_tokens(F.col("title")).alias("tokens"), F.col("auditor_id").alias("model"))
-    named = got.select("project_id", "file", F.col("tokens").alias("right_tokens"), "model").distinct()
-    alike = similar_titles(want, got).join(named, ["project_id", "file", "right_tokens"]).select(
-        "project_id", "file", F.col("left_tokens").alias("tokens"), "model").distinct()
-    found = want.select("truth_id", "project_id", "file", "tokens").join(alike, ["project_id", "file", "tokens"]).select(
-        "truth_id", "model", F.lit(2).alias("hit"))
+    got = findings.select("finding_id", "project_id", "file", "line", title_tokens(F.col("title")).alias("tokens"), F.col("auditor_id").alias("model"))
+    # Copies of a title collapse to one id per file, and per file and model.
+    want_titles = want.groupBy("project_id", "file", "tokens").agg(F.min("truth_id").alias("id"))
+    got_titles = got.groupBy("project_id", "file", "tokens", "model").agg(F.min("finding_id").alias("id"))
+    alike = (similar_titles(want_titles, got_titles).join(got_titles.select(F.col("id").alias("right_id"), "model"), "right_id")
+             .select(F.col("left_id").alias("id"), "model").distinct())
+    found = (want.join(want_titles, ["project_id", "file", "tokens"]).join(alike, "id")
+             .select("truth_id", "model", F.lit(2).alias("hit")))
     # Lines within the gap: neighbours fall in the same or the next bucket.
     width = LINE_GAP + 1
     bucket = F.floor(F.col("line") / width)

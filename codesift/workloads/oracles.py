@@ -516,3 +516,8 @@ def ingest_sql() -> dict[str, str]:
               and count(*) filter (where vec_id not in (select doc_id from documents)) = 0 and min(len(embedding)) = max(len(embedding)) as ok from embeddings""",
         "scan_stream": f"{_all_leads()} select project_id, pattern_id, count(*) as n from every group by all",
     }
+
+
+def all_sql() -> dict[str, str]:
+    return (features_sql() | scan_sql() | report_sql() | joins_sql() | findings_sql() | responses_sql() | packing_sql()
+            | vector_sql() | ingest_sql())

@@ -131,6 +131,12 @@ LINES = [
     "for (uint256 i = 0; i < sigs.length; i++) {",
     "for (j = 0; j < 5; j++) {",
     "verify(sigs[i]);",
+    "}",
+    "require(ok[i]);",
+    "} // each",
+    "}}",
+    "payee.transfer(a);",
+    "to.call{gas: 5}(d);",
     "bytes32 h = keccak256(abi.encodePacked(a, b));",
     "bytes memory q = abi.encodePacked(a);",
     "delete users[0];",
