@@ -57,18 +57,20 @@ def near_duplicates(findings: DataFrame) -> DataFrame:
     share the category and lie within a few lines.  The merge key is the smallest
     id of everything linked, directly or through others.
     """
-    marked = findings.select("finding_id", "project_id", "file", "line", "category", title_tokens(F.col("title")).alias("tokens"))
+    marked = cut_lineage(findings.select("finding_id", "project_id", "file", "line", "category",
+                                         F.array_join(title_tokens(F.col("title")), " ").alias("words")))
     # One cell per line and one per title: copies collapse before anything is sorted or joined.
     spots = marked.groupBy("project_id", "file", "category", "line").agg(F.min("finding_id").alias("low"))
     by_line = Window.partitionBy("project_id", "file", "category").orderBy("line")
     fresh = F.coalesce(F.col("line") - F.lag("line").over(by_line) > LINE_GAP, F.lit(True)).cast("int")
     chains = spots.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(by_line))
-    heads = chains.groupBy("project_id", "file", "category", "chain").agg(F.min("low").alias("spot"))
-    spot_of = chains.join(heads, ["project_id", "file", "category", "chain"]).select("project_id", "file", "category", "line", "spot")
-    titles = marked.groupBy("project_id", "file", "tokens").agg(F.min("finding_id").alias("id"))
-    name_links = similar_titles(titles, titles, other=True).toDF("a", "b")
+    in_chain = Window.partitionBy("project_id", "file", "category", "chain")
+    spot_of = chains.select("project_id", "file", "category", "line", F.min("low").over(in_chain).alias("spot"))
+    titles = cut_lineage(marked.groupBy("project_id", "file", "words").agg(F.min("finding_id").alias("id")))
+    sets = titles.withColumn("tokens", F.split("words", " ", -1)).filter(F.col("words") != "")
+    name_links = similar_titles(sets, sets, other=True).toDF("a", "b")
     placed = cut_lineage(marked.join(spot_of, ["project_id", "file", "category", "line"])
-                         .join(titles.withColumnRenamed("id", "name"), ["project_id", "file", "tokens"])
+                         .join(titles.withColumnRenamed("id", "name"), ["project_id", "file", "words"])
                          .select("finding_id", "project_id", "file", "spot", "name"))
     # Nodes are ids; a spot and a title that share their smallest finding are one node.
     links = placed.select(F.col("spot").alias("a"), F.col("name").alias("b")).unionByName(name_links).filter(F.col("a") != F.col("b")).distinct()

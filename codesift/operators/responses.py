@@ -89,6 +89,12 @@ def _items(df: DataFrame, column: str, keys: list[str], paths: list[str]) -> Dat
     return df.select(*keys, F.posexplode(arr).alias("ord", "item"))
 
 
+def _once(df: DataFrame, keys: list[str], columns: list[Column]) -> DataFrame:
+    """Evaluate ``columns`` once: a filter on them is not pushed below a generator,
+    where it would repeat the extraction."""
+    return df.select(*keys, F.inline(F.array(F.struct(*columns))))
+
+
 FINDING_FIELDS = ["severity", "title", "file", "line", "description", "exploit", "recommendation"]
 
 
@@ -118,23 +124,22 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     found = with_json(with_json(text, "body", "body_json"), "tail", "tail_json")
 
     item = F.col("item")
-    parsed = _items(found, "body_json", keys, ["$", "$.findings"]).select(
-        *keys, "ord", *[_typed(item, f, "number" if f == "line" else "string").alias(f) for f in FINDING_FIELDS],
-        F.to_json(item).alias("json"))
-    findings = parsed.filter(finding_validity()).drop("json").withColumn("line", F.col("line").cast("int"))
+    parsed = _once(_items(found, "body_json", keys, ["$", "$.findings"]), [*keys, "ord", "item"],
+                   [_typed(item, f, "number" if f == "line" else "string").alias(f) for f in FINDING_FIELDS])
+    findings = parsed.filter(finding_validity()).drop("item").withColumn("line", F.col("line").cast("int"))
 
     raw_notes = _items(found, "tail_json", keys, ["$"]).unionByName(_items(found, "body_json", keys, ["$.suspicions"]))
     fn = F.try_variant_get(item, "$.targetFunction", "variant")
-    notes_all = raw_notes.select(
-        *keys, "ord", _typed(item, "targetFile", "string").alias("target_file"), _typed(item, "targetFunction", "string").alias("target_function"),
+    notes_all = _once(raw_notes, [*keys, "ord", "item"], [
+        _typed(item, "targetFile", "string").alias("target_file"), _typed(item, "targetFunction", "string").alias("target_function"),
         _typed(item, "reason", "string").alias("reason"), _typed(item, "confidence", "number").alias("confidence"),
-        (fn.isNull() | (F.schema_of_variant(fn) == "STRING")).alias("function_ok"), F.to_json(item).alias("json"))
-    notes = notes_all.filter(note_validity()).drop("json", "function_ok")
+        (fn.isNull() | (F.schema_of_variant(fn) == "STRING")).alias("function_ok")])
+    notes = notes_all.filter(note_validity()).drop("item", "function_ok")
 
     bad_text = found.filter((F.col("body") != "") & F.col("body_json").isNull()).select(
         *keys, F.lit(None).cast("int").alias("ord"), F.lit("no JSON").alias("reason"), F.col("body").alias("text"))
-    bad_items = parsed.filter(~finding_validity()).select(*keys, "ord", F.lit("finding not valid").alias("reason"), F.col("json").alias("text"))
-    bad_notes = notes_all.filter(~note_validity()).select(*keys, "ord", F.lit("note not valid").alias("reason"), F.col("json").alias("text"))
+    bad_items = parsed.filter(~finding_validity()).select(*keys, "ord", F.lit("finding not valid").alias("reason"), F.to_json(item).alias("text"))
+    bad_notes = notes_all.filter(~note_validity()).select(*keys, "ord", F.lit("note not valid").alias("reason"), F.to_json(item).alias("text"))
     return findings, notes, bad_text.unionByName(bad_items).unionByName(bad_notes)
 
 

@@ -202,7 +202,7 @@ SCAN |= {
     "scan_nesting_count": lambda s, d: _leads(s, d, ["ETH-075"]).filter("severity = 'MEDIUM'").select(*LEAD),
     "lead_rank": lambda s, d: scan.rank_leads(_all_leads(s, d)).withColumnRenamed("line", "line_no").select(*LEAD),
     "lead_summary": lambda s, d: scan.lead_summary(_all_leads(s, d)),
-    "lead_block": lambda s, d: scan.lead_block(_all_leads(s, d)),
+    "lead_block": lambda s, d: scan.lead_block(cut_lineage(_all_leads(s, d))),
 }
 
 # --- joins over files and notes ----------------------------------------------
@@ -333,7 +333,7 @@ def _context(s, d) -> DataFrame:
 def _prompts(s, d) -> DataFrame:
     files = _stored(s, d)
     batches = cut_lineage(packing.pack_next(files, corpus.seen_files(s, d), _strong(s, d), BUDGET).withColumn("pass_no", F.lit(2)))
-    return render.prompts_in_order(render.prompt_rows(batches, files, _context(s, d), scan.lead_block(scan.rule_scan(files)), _strong(s, d)))
+    return render.prompts_in_order(render.prompt_rows(batches, files, _context(s, d), scan.lead_block(cut_lineage(scan.rule_scan(files))), _strong(s, d)))
 
 
 def _map(s, d) -> DataFrame:
