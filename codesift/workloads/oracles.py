@@ -172,12 +172,13 @@ def _rxm(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {lit(pattern)})"
 
 
-SCORE = ("(case when " + _rxm("low", "transfer|withdraw|deposit|balance|stake|unstake|claim|fee|reward|pay|send|mint|burn") + " then 0.30 else 0 end"
-         " + case when " + _rxm("low", r"\.call\b|delegatecall|\.invoke|cpi::|cross.chain|callback|hook") + " then 0.25 else 0 end"
-         " + case when " + _rxm("low", r"onlyowner|onlyadmin|require.*msg\.sender|authority|role|permission|admin") + " then 0.15 else 0 end"
-         " + case when " + _rxm("low", r"mapping|storage\b|mut\s+\w|global\s+\w") + " then 0.10 else 0 end"
-         " + case when " + _rxm("low", "muldiv|wadmul|raymul|shares?|rate|index|price|oracle|twap") + " then 0.15 else 0 end"
-         " - case when " + _rxm("content", r"(?m)^interface\s+|//.*SPDX.*interface|pub\s+trait\s+") + " then 0.20 else 0 end)")
+# Doubles, added in the order of the score's terms: decimals would order near ties differently.
+SCORE = ("(case when " + _rxm("low", "transfer|withdraw|deposit|balance|stake|unstake|claim|fee|reward|pay|send|mint|burn") + " then 0.30::double else 0::double end"
+         " + case when " + _rxm("low", r"\.call\b|delegatecall|\.invoke|cpi::|cross.chain|callback|hook") + " then 0.25::double else 0::double end"
+         " + case when " + _rxm("low", r"onlyowner|onlyadmin|require.*msg\.sender|authority|role|permission|admin") + " then 0.15::double else 0::double end"
+         " + case when " + _rxm("low", r"mapping|storage\b|mut\s+\w|global\s+\w") + " then 0.10::double else 0::double end"
+         " + case when " + _rxm("low", "muldiv|wadmul|raymul|shares?|rate|index|price|oracle|twap") + " then 0.15::double else 0::double end"
+         " - case when " + _rxm("content", r"(?m)^interface\s+|//.*SPDX.*interface|pub\s+trait\s+") + " then 0.20::double else 0::double end)")
 
 IMPORT_PATTERNS = [r"""import\s+(?:\{[^}]+\}\s+from\s+)?["']([^"']+)["']""", r"(?m)^mod\s+(\w+)\s*;", r"use\s+[\w:]+::(\w+)",
                    r'import\s+(?:\w+\s+)?"([^"]+)"']
@@ -188,7 +189,7 @@ f0 as (select *, lower(content) as low from files),
 f1 as (select *, {SCORE} as s0, {LANGUAGE} as language, length(content) as size,
   list_filter({_ALL_IMPORTS}, lambda x, i: list_position({_ALL_IMPORTS}, x) = i) as imports from f0),
 feats as (select doc_id, project_id, path, content, lines, language, size, imports,
-  greatest(0.0, least(1.0, s0 - case when s0 < 0.2 and regexp_matches(content, '(?m)^library\\s+\\w+\\s*\\{{') then 0.1 else 0 end))::double as attack_score from f1),
+  greatest(0::double, least(1::double, s0 - case when s0 < 0.2::double and regexp_matches(content, '(?m)^library\\s+\\w+\\s*\\{{') then 0.1::double else 0::double end)) as attack_score from f1),
 seen as (select f.project_id, f.path from files f where doc_id in (select doc_id from labels))"""
 
 FIRST = "(select project_id, path as first from feats qualify row_number() over (partition by project_id order by attack_score desc, path) = 1)"
@@ -520,4 +521,75 @@ def ingest_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     return (features_sql() | scan_sql() | report_sql() | joins_sql() | findings_sql() | responses_sql() | packing_sql()
-            | vector_sql() | ingest_sql())
+            | vector_sql() | ingest_sql() | batches_sql())
+
+
+# --- greedy packing: one batch is a fold over the remaining files --------------
+
+_FILE = "struct(path varchar, size bigint, score double)"
+_EMPTY = f"[]::{_FILE}[]"
+
+
+def pack_cte(name: str, source: str, order: str, batches: int, budget: int = 84_288, max_files: int = 10) -> str:
+    """CTEs ending in ``name``(project_id, batch_no, place, path, size, attack_score)."""
+    def cell(f: str) -> str:
+        return f"{{'took': {_EMPTY}, 'rest': [{f}], 'left': 0::bigint}}"
+
+    fold = (f"list_reduce(todo, lambda a, x: case when len(a.took) < {max_files} and x.rest[1].size <= a.left "
+            "then {'took': list_append(a.took, x.rest[1]), 'rest': a.rest, 'left': a.left - x.rest[1].size} "
+            "else {'took': a.took, 'rest': list_append(a.rest, x.rest[1]), 'left': a.left} end, "
+            f"{{'took': {_EMPTY}, 'rest': {_EMPTY}, 'left': {budget}::bigint}})")
+    file = "{'path': path, 'size': size::bigint, 'score': attack_score}"
+    return f"""
+{name}_run(project_id, batch_no, todo, took) as (
+  select project_id, 0, list({cell(file)} order by {order}), {_EMPTY} from ({source}) group by project_id
+  union all
+  select project_id, batch_no + 1, list_transform(st.rest, lambda f: {cell('f')}), st.took from (
+    select project_id, batch_no, {fold} as st from {name}_run where len(todo) > 0 and (batch_no = 0 or len(took) > 0) and batch_no < {batches})),
+{name} as (select project_id, cast(batch_no as int) as batch_no, cast(place as int) as place, f.path as path, f.size as size, round(f.score, 2) as attack_score
+  from (select project_id, batch_no, unnest(took) as f, generate_subscripts(took, 1) as place from {name}_run))"""
+
+
+def tokens(name: str, focus: int, reaudit: str) -> str:
+    return (f"select p.*, cast(floor(u.used / 4 + 0.5) as bigint) + 6800 + {focus} as est_tokens, {reaudit} as is_reaudit from {name} p "
+            f"join (select project_id, batch_no, sum(size) as used from {name} group by all) u using (project_id, batch_no)")
+
+
+def batches_sql() -> dict[str, str]:
+    first = f"with recursive {FEATS},{pack_cte('pk', 'select * from feats', 'attack_score desc, path', 50)}"
+    both = "select *, 0 as turn from targets union all select *, 1 from neighbours"
+    again = pack_cte("ag", both, "turn, attack_score desc, path", 1)
+    unseen = "select * from feats where attack_score > 0.1 and (project_id, path) not in (select (project_id, path) from seen)"
+    fresh = pack_cte("fr", unseen, "attack_score desc, path", 50)
+    nxt = (f"recursive {STRONG},{again},{fresh},\nbatches as (select * replace (0 as batch_no) from ({tokens('ag', 800, 'true')}) "
+           f"union all select * from ({tokens('fr', 0, 'false')}))")
+    return {
+        "pack_initial": f"{first} {tokens('pk', 0, 'false')}",
+        "batch_tokens": f"{first} select distinct project_id, batch_no, est_tokens from ({tokens('pk', 0, 'false')})",
+        "join_summarized": f"{first} select b.project_id, b.batch_no, count(*) as n_summaries from (select distinct project_id, batch_no from pk) b "
+                           "join feats f on f.project_id = b.project_id where (b.project_id, b.batch_no, f.path) not in (select (project_id, batch_no, path) from pk) group by all",
+        "pack_suspicion": f"with recursive {STRONG},{again} {tokens('ag', 800, 'true')}",
+        "pack_next_pass": f"with {nxt} select * from batches",
+        "prompt_dataset": _prompt_sql(nxt),
+    }
+
+
+def _prompt_sql(nxt: str) -> str:
+    block = scan_sql()["lead_block"]
+    context = vector_sql()["retrieve_format"]
+    return f"""with {nxt},
+heads as (select project_id, batch_no, bool_or(is_reaudit) as again from batches group by all),
+ctx as (select 'src' || query_id as project_id, context from ({context})),
+led as (select * from ({block})),
+strong as (select * from notes where confidence >= 0.9),
+parts as (
+  select project_id, batch_no, 2 as section, 0 as place, '' as path, '=== SECURITY CONTEXT ===' || chr(10) || context as text from heads join ctx using (project_id)
+  union all select project_id, batch_no, 3, 0, '', block from heads join led using (project_id)
+  union all select project_id, batch_no, 4, 0, '', '=== PASS 2 FOCUS — INVESTIGATE THESE SPECIFICALLY ===' from heads where again
+  union all select h.project_id, batch_no, 4, 1, target_file, '• ' || target_file || case when target_function is not null then ' → ' || target_function else '' end
+    || chr(10) || '  Reason: ' || reason || ' [confidence: ' || confidence || ']' from heads h join strong n on n.project_id = h.project_id where again
+  union all select project_id, batch_no, 4, 2, '', 'These were flagged in a previous pass. Prioritize them.' from heads where again
+  union all select project_id, batch_no, 5, 0, '', '=== CONTRACT CODE ===' from heads
+  union all select b.project_id, b.batch_no, 5, b.place, b.path, '// ═══ ' || b.path || ' [' || f.language || '] ═══' || chr(10) || f.content
+    from batches b join feats f on f.project_id = b.project_id and f.path = b.path)
+select project_id, batch_no, section, place, path, md5(text) as text_md5 from parts"""
