@@ -14,6 +14,7 @@ BASE_CONFIDENCE = 0.6
 STEP_CONFIDENCE = 0.2
 LINE_GAP = 5
 JACCARD = 0.5
+MAX_SUBSET = 8  # titles with more tokens are matched by their rare tokens
 PASS_WEIGHTS = {"broad": 1.0, "targeted": 1.3, "verification": 1.6}
 
 
@@ -21,14 +22,76 @@ def title_tokens(title: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z0-9]+", -1), lambda t: t != "")))
 
 
-def similar_titles(left: DataFrame, right: DataFrame, jaccard: float = JACCARD, other: bool = False) -> DataFrame:
-    """left/right(id, project_id, file, tokens) -> distinct (left_id, right_id) of a
-    file at or above the Jaccard bound; ``other`` keeps pairs with left_id < right_id.
+def _least_overlap(p: Column, q: Column, jaccard: float) -> Column:
+    """Tokens two sets of sizes p and q must share to reach the bound."""
+    return F.ceil((p + q) * (jaccard / (1 + jaccard)) - 1e-9).cast("int")
+
+
+def _subset_keys(sets: DataFrame, sizes: list[int], jaccard: float) -> DataFrame:
+    """sets(id, project_id, file, tokens, ...) -> the same plus (size, other, part).
+
+    Sets of sizes p and q reach the bound exactly when they share a part of the
+    least size; so each set lists its parts for every other size that occurs, and
+    sets meet on equal parts.
+    """
+    size = F.size("tokens")
+    others = F.filter(F.array(*[F.lit(n) for n in sizes]),
+                      lambda q: (F.least(size, q) >= F.greatest(size, q) * jaccard - 1e-9) & (_least_overlap(size, q, jaccard) <= F.least(size, q)))
+    wide = sets.withColumn("size", size).withColumn("other", F.explode(others))
+    need = _least_overlap(F.col("size"), F.col("other"), jaccard)
+    # Each number below 2^size is one choice of tokens.
+    choices = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.col("size")) - 1)
+    masks = F.filter(choices, lambda m: F.bit_count(m) == need)
+    parts = F.transform(masks, lambda m: F.array_join(
+        F.filter("tokens", lambda t, i: F.call_function("shiftright", m, i).bitwiseAND(F.lit(1)) == 1), " "))
+    return wide.withColumn("part", F.explode(parts)).drop("tokens")
+
+
+def _short(sets: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Sets short enough to list their parts, and the sizes that occur (a few numbers)."""
+    short = sets.filter(F.size("tokens").between(1, MAX_SUBSET))
+    return short, sorted(r[0] for r in short.select(F.size("tokens").alias("n")).distinct().collect())
+
+
+def _seen_from_other(keys: DataFrame, *keep: str) -> DataFrame:
+    """Keys with the two sizes swapped, to meet the keys of the other size."""
+    return keys.select("project_id", "file", F.col("other").alias("size"), F.col("size").alias("other"), "part", *keep)
+
+
+def title_links(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """sets(id, project_id, file, tokens) -> (a, b) that connect all sets of a file at
+    or above the bound.  Not every pair is listed: on each shared part a set is
+    linked to the smallest set of the other size only, which connects the same."""
+    short, sizes = _short(sets)
+    keys = _subset_keys(short, sizes, jaccard)
+    key = ["project_id", "file", "size", "other", "part"]
+    low = _seen_from_other(keys.groupBy(*key).agg(F.min("id").alias("low")), "low")
+    return (keys.join(low, key).select(F.col("id").alias("a"), F.col("low").alias("b")).filter(F.col("a") != F.col("b"))
+            .unionByName(long_pairs(sets, sets, jaccard).toDF("a", "b").filter(F.col("a") < F.col("b"))).distinct())
+
+
+def title_matches(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """left(id, project_id, file, tokens), right(..., model) -> distinct (id, model)
+    with a right title at or above the bound."""
+    left = left.select("id", "project_id", "file", "tokens")
+    lshort, lsizes = _short(left)
+    rshort, rsizes = _short(right)
+    lkeys = _subset_keys(lshort, rsizes, jaccard)
+    rkeys = _seen_from_other(_subset_keys(rshort, lsizes, jaccard).select("project_id", "file", "size", "other", "part", "model").distinct(), "model")
+    short = lkeys.join(rkeys, ["project_id", "file", "size", "other", "part"]).select("id", "model")
+    long_ = long_pairs(left, right, jaccard).join(right.select(F.col("id").alias("right_id"), "model"), "right_id")
+    return short.unionByName(long_.select(F.col("left_id").alias("id"), "model")).distinct()
+
+
+def long_pairs(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """Distinct (left_id, right_id) of a file at or above the bound where one title
+    has more than MAX_SUBSET tokens.
 
     Sets that reach the bound share a token among the rarest of each (prefix
     filtering), so only those rare tokens are joined.
     """
-    left, right = (df.select("id", "project_id", "file", "tokens").filter(F.size("tokens") > 0) for df in (left, right))
+    # A long set meets sets of at least MAX_SUBSET * jaccard tokens.
+    left, right = (df.select("id", "project_id", "file", "tokens").filter(F.size("tokens") > MAX_SUBSET * jaccard) for df in (left, right))
     words = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
     def prefixes(df: DataFrame) -> DataFrame:
@@ -39,14 +102,18 @@ def similar_titles(left: DataFrame, right: DataFrame, jaccard: float = JACCARD,
         keep = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(jaccard) - 1e-9).cast("int") + 1
         return by_set.select("id", "project_id", "file", "tokens", F.explode(F.slice("rare", F.lit(1), keep)["token"]).alias("token"))
 
-    pairs = (prefixes(left).withColumnsRenamed({"tokens": "left_tokens", "id": "left_id"})
-             .join(prefixes(right).withColumnsRenamed({"tokens": "right_tokens", "id": "right_id"}), ["project_id", "file", "token"]))
-    if other:
-        pairs = pairs.filter(F.col("left_id") < F.col("right_id"))
-    # The overlap test comes before the shuffle that removes repeated pairs.
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    overlap = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
-    return pairs.filter(overlap >= jaccard).select("left_id", "right_id").distinct()
+    def long_(df: DataFrame) -> DataFrame:
+        return df.filter(F.size("tokens") > MAX_SUBSET)
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = (a.withColumnsRenamed({"tokens": "left_tokens", "id": "left_id"})
+                 .join(b.withColumnsRenamed({"tokens": "right_tokens", "id": "right_id"}), ["project_id", "file", "token"]))
+        shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
+        overlap = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
+        return pairs.filter(overlap >= jaccard).select("left_id", "right_id")
+
+    lp, rp = prefixes(left), prefixes(right)
+    return joined(long_(lp), rp).unionByName(joined(lp, long_(rp))).distinct()
 
 
 def near_duplicates(findings: DataFrame) -> DataFrame:
@@ -68,7 +135,7 @@ def near_duplicates(findings: DataFrame) -> DataFrame:
     spot_of = chains.select("project_id", "file", "category", "line", F.min("low").over(in_chain).alias("spot"))
     titles = cut_lineage(marked.groupBy("project_id", "file", "words").agg(F.min("finding_id").alias("id")))
     sets = titles.withColumn("tokens", F.split("words", " ", -1)).filter(F.col("words") != "")
-    name_links = similar_titles(sets, sets, other=True).toDF("a", "b")
+    name_links = title_links(sets)
     placed = cut_lineage(marked.join(spot_of, ["project_id", "file", "category", "line"])
                          .join(titles.withColumnRenamed("id", "name"), ["project_id", "file", "words"])
                          .select("finding_id", "project_id", "file", "spot", "name"))
@@ -140,8 +207,7 @@ def eval_coverage(truth: DataFrame, findings: DataFrame, models: list[str]) -> D
     # Copies of a title collapse to one id per file, and per file and model.
     want_titles = want.groupBy("project_id", "file", "tokens").agg(F.min("truth_id").alias("id"))
     got_titles = got.groupBy("project_id", "file", "tokens", "model").agg(F.min("finding_id").alias("id"))
-    alike = (similar_titles(want_titles, got_titles).join(got_titles.select(F.col("id").alias("right_id"), "model"), "right_id")
-             .select(F.col("left_id").alias("id"), "model").distinct())
+    alike = title_matches(want_titles, got_titles)
     found = (want.join(want_titles, ["project_id", "file", "tokens"]).join(alike, "id")
              .select("truth_id", "model", F.lit(2).alias("hit")))
     # Lines within the gap: neighbours fall in the same or the next bucket.

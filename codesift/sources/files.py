@@ -79,7 +79,8 @@ def read_sources(spark: SparkSession, path: str, project_id: str = "project") ->
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """``root/<firm>/<file>.md`` -> (firm, filename, rel_path, content); read-me files are left out."""
+    """``root/<firm>/<file>.md`` -> (firm, filename, rel_path, content); read-me files are left out.
+    The rows are not sorted: what was ingested is known by path, not by position."""
     raw = (spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("ignoreCorruptFiles", True)
            .load(f"{root.rstrip('/')}/*/"))
     parts = F.split(F.col("path"), "/", -1)
@@ -87,7 +88,7 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
     firm = F.element_at(parts, -2)
     return (raw.filter(F.lower(name) != "readme.md")
             .select(firm.alias("firm"), name.alias("filename"), F.concat_ws("/", firm, name).alias("rel_path"),
-                    _text(F.col("content")).alias("content")).orderBy("rel_path"))
+                    _text(F.col("content")).alias("content")))
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:

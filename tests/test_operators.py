@@ -315,3 +315,33 @@ def test_map_text(spark):
     assert text.startswith("PROTOCOL MAP — src (3 files · solidity)\n" + "═" * 52 + "\n\n[src/F0.sol] score:0.90\n  What it does: Small solidity file")
     assert "  Calls into: ./F3.sol\n  ⚠ Suspicion [Pass 1]: f(): odd [confidence: 0.9]\n\n[src/F1.sol] score:0.86" in text
     assert text.endswith("\n\n" + "═" * 52)
+
+
+def _jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
+def test_title_links_and_matches(spark):
+    rng = random.Random(11)
+    sets = [(f"s{i:03d}", "p", f"f{i % 2}", sorted(rng.sample("abcdefghijklmn", rng.choice([1, 2, 3, 4, 4, 5, 7, 8, 9, 11]))), f"m{i % 3}") for i in range(120)]
+    df = spark.createDataFrame(sets, "id string, project_id string, file string, tokens array<string>, model string")
+    want = {(a[0], b[0]) for a in sets for b in sets if a[2] == b[2] and a[0] < b[0] and _jaccard(a[3], b[3]) >= 0.5}
+    links = {tuple(sorted((r["a"], r["b"]))) for r in merge.title_links(df).collect()}
+    assert links <= want
+
+    def roots(edges):
+        root = {s[0]: s[0] for s in sets}
+        for _ in range(len(sets)):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(links) == roots(want)
+    got = {(r["id"], r["model"]) for r in merge.title_matches(df.filter("model = 'm0'"), df.filter("model <> 'm0'")).collect()}
+    assert got == {(a[0], b[4]) for a in sets for b in sets if a[4] == "m0" and b[4] != "m0" and a[2] == b[2] and _jaccard(a[3], b[3]) >= 0.5}
+
+
+def test_title_links_stay_linear_in_a_hot_file(spark):
+    rows = spark.range(3000).selectExpr("concat('s', id) as id", "'p' as project_id", "'f' as file",
+                                        "array_sort(array('check', 'missing', 'in', concat('fn', id))) as tokens")
+    assert merge.title_links(rows).count() < 3 * 3000
