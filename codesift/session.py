@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +40,13 @@ def work_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
     The folder is read from ``spark.checkpoint.dir``.  Only a local master may
-    run without it; then a temporary folder of this machine is used.
+    run without it; then a folder inside the warehouse is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="codesift-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
