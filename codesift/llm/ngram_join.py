@@ -164,8 +164,9 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, limit: float = LIMIT, bands: in
             grams = pa.array([sets[i:j].tobytes() for i, j in cuts], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], grams], SETS.fieldNames()).filter(pa.array(own))
 
-    # The text of a class is that of a row whose id names it and whose set is the class's.
-    named = docs.select(F.col("doc_id").cast("long"), "text").join(members, "doc_id").select(*members.columns[1:], "text")
+    # The text of a class is that of a row whose id names it and whose set is the class's.  The members grow with the
+    # documents, so they are never broadcast, not even where they happen to be few.
+    named = docs.select(F.col("doc_id").cast("long"), "text").join(members.hint("merge"), "doc_id").select(*members.columns[1:], "text")
     full = named.mapInArrow(fetch, SETS)
     if not signed.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
         full = full.dropDuplicates(["node"])
