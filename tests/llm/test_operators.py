@@ -177,8 +177,9 @@ def test_base_spans():
     plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for t in ("x@a.com@b.org q@w", "a@@b.c", "@a.b", "a.b@c.d.", "a@b.c.d-e@f.g", "é.b@c.de", "a@b c@d.e"):
         assert pii.base_spans(t)["email"] == [m.span() for m in plain.finditer(t)]
-    s = pii.base_spans("1.2.3.4.5.6.7.8 256.1.1.1 4111-1111 1111 1111 4111111111111112 +1 (543) 555-9258) +12")
-    assert s["ip"] == [(0, 7), (8, 15)] and len(s["card"]) == 1 and len(s["phone"]) == 1
+    s = pii.base_spans("1.2.3.4.5.6.7.8 256.1.1.1 x 4111-1111 1111 1111 x 4111111111111112 x +1 (543) 555-9258) +12")
+    assert s["ip"] == [(0, 7), (8, 15)] and s["card"] == [(28, 47)] and len(s["phone"]) == 1
+    assert pii.base_spans("4111111111111111 5")["card"] == [] and pii.base_spans("9" * 200_000) == {k: [] for k in pii.KINDS}
 
 
 def test_windows_cover_texts():
@@ -269,14 +270,15 @@ def test_packing_under_three_limits(spark):
     limits = (1024, 5, 512)
     got = packing.pack_examples(spark.createDataFrame(rows, "example_id long, tokens long, loss_tokens long").repartition(2), limits).collect()
     assert sorted(r.example_id for r in got) == sorted(r[0] for r in rows)
-    assert {r.example_id for r in got if r.sequence_id is None} == {-2, -3}
+    assert {r.example_id for r in got if r.sequence_id is None} == {i for i, t, x in rows if (t or 0) > 1024 or (x or 0) > 512}
     seq = collections.defaultdict(list)
     for p in got:
         if p.sequence_id is not None:
             seq[p.sequence_id].append(p)
     for ps in seq.values():
         assert sum(p.tokens for p in ps) <= 1024 and len(ps) <= 5 and sum(p.loss_tokens for p in ps) <= 512
-    least = max(sum(n) / 1024, len(n) / 5, sum(r[2] for r in rows[:3000]) / 512)
+    placed = [p for ps in seq.values() for p in ps]
+    least = max(sum(p.tokens for p in placed) / 1024, len(placed) / 5, sum(p.loss_tokens for p in placed) / 512)
     assert len(seq) < 1.15 * least
 
 
@@ -429,11 +431,11 @@ def test_fenwick_chain_is_best():
         for m in range(1, 1 << n):
             path = [i for i in range(n) if m >> i & 1]
             pairs = list(zip(path, path[1:]))
-            if all(x2[a] - k <= x1[b] and x1[a] < x1[b] and y2[a] - k <= y1[b] and max(x1[b] - x2[a], y1[b] - y2[a]) <= substring_dedup.MAX_GAP for a, b in pairs):
+            if all(x2[a] - k <= x1[b] and x1[a] < x1[b] and y2[a] - k <= y1[b] for a, b in pairs):
                 best = max(best, w[path].sum() - sum(substring_dedup.GAP_COST * (x1[b] - x2[a] + y1[b] - y2[a]) for a, b in pairs))
         path = substring_dedup.chain(x1.tolist(), x2.tolist(), y1.tolist(), y2.tolist())[0]
         score = w[path].sum() - sum(substring_dedup.GAP_COST * (x1[b] - x2[a] + y1[b] - y2[a]) for a, b in zip(path, path[1:]))
-        assert score >= best - 4
+        assert score >= best - 1e-9
 
 
 def test_common_subsequence():
