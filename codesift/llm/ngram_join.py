@@ -190,7 +190,8 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, limit: float = LIMIT, bands: in
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest doc_id stays."""
     marks = join_ngrams(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(marks, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # What goes grows with the documents, so it is never broadcast.
+    return docs.join(marks.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
