@@ -146,6 +146,12 @@ def near_duplicates(findings: DataFrame) -> DataFrame:
             .select("finding_id", "project_id", "file", F.coalesce("root", "spot").alias("merge_key")))
 
 
+def with_merge_key(findings: DataFrame) -> DataFrame:
+    """The findings with their merge key.  A repeated finding_id has one key, so every row comes back once."""
+    keys = near_duplicates(findings).groupBy("finding_id").agg(F.min("merge_key").alias("merge_key"))
+    return findings.join(keys, "finding_id")
+
+
 def severity_rank(severity: Column) -> Column:
     return rank_of(severity, SEVERITIES)
 
@@ -153,7 +159,7 @@ def severity_rank(severity: Column) -> Column:
 def merge_findings(findings: DataFrame, base: float = BASE_CONFIDENCE, step: float = STEP_CONFIDENCE) -> DataFrame:
     """One row per bug: highest severity, all auditors, confidence by their number.
     The text is that of the most severe finding with the smallest id."""
-    keyed = findings.join(near_duplicates(findings).select("finding_id", "merge_key"), "finding_id")
+    keyed = with_merge_key(findings)
     auditors = F.array_sort(F.collect_set("auditor_id"))
     text = [c for c in ("severity", "title", "line", "category", "description", "exploit", "recommendation") if c in findings.columns]
     merged = keyed.groupBy("project_id", "file", "merge_key").agg(

@@ -1,11 +1,14 @@
 """Prompt batches: files picked by score under a character budget.
 
 A batch takes, in score order, every file that still fits, up to ``max_files``;
-files left over go to the next batch.  Picking is sequential within a project, but
-at most ``max_batches * max_files`` files are ever picked.  A file is out of reach
-when that many better files are no larger: whenever it would fit, one of them fits
-too.  So per project and size only that many leading files are kept, and the
-sequential step sees this remainder and not the project.
+files left over go to the next batch, until every file that fits a batch at all is
+placed.  Files over the budget are reported by ``unplaced``.
+
+Picking is sequential within a project, so it goes in steps of ``STEP_BATCHES``
+batches: at most ``STEP_BATCHES * max_files`` files are picked in a step, and a
+file is out of a step's reach when that many better files are no larger (whenever
+it would fit, one of them fits too).  So per project and size only that many
+leading files are kept, and no task ever sees a whole project.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 from codesift.operators.aggregates import batch_tokens
 from codesift.operators.features import score_filter
 from codesift.operators.paths import import_neighbours, suspicion_targets
+from codesift.session import cut_lineage
 
-MAX_BATCHES = 50
+STEP_BATCHES = 50  # batches filled between two writes, no bound on their number
 MAX_FILES = 10
 
 _PLACED = "project_id string, batch_no int, place int, path string, size long, attack_score double"
@@ -71,20 +75,40 @@ def _fill(budget: int, max_files: int, max_batches: int):
     return fill
 
 
-def greedy_pack(files: DataFrame, budget: int, max_files: int = MAX_FILES, max_batches: int = MAX_BATCHES,
+def greedy_pack(files: DataFrame, budget: int, max_files: int = MAX_FILES, max_batches: int | None = None,
                 order: list[Column] | None = None) -> DataFrame:
     """files(project_id, path, size, attack_score) -> (project_id, batch_no, place,
-    path, size, attack_score)."""
+    path, size, attack_score).  Every file that fits is placed, unless the caller
+    asks for the first ``max_batches`` batches only."""
     order = order or [-F.col("attack_score"), F.col("path")]
-    near = candidates(files, budget, max_files * max_batches, order)
-    placed = near.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("sort_key"))).drop("sort_key")
-    return placed.groupBy("project_id").applyInPandas(_fill(budget, max_files, max_batches), _PLACED)
+    todo, done, start = files.filter(F.col("size") <= budget), None, 0
+    while True:
+        step = STEP_BATCHES if max_batches is None else min(STEP_BATCHES, max_batches - start)
+        near = candidates(todo, budget, max_files * step, order)
+        ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("sort_key"))).drop("sort_key")
+        packed = cut_lineage(ranked.groupBy("project_id").applyInPandas(_fill(budget, max_files, step), _PLACED)
+                             .withColumn("batch_no", F.col("batch_no") + start))
+        done = packed if done is None else done.unionByName(packed)
+        start += step
+        # Only projects that used up the step can have files left.
+        full = packed.filter(F.col("batch_no") == start).select("project_id").distinct()
+        if start == max_batches or full.isEmpty():
+            return done
+        todo = cut_lineage(todo.join(full, "project_id", "left_semi").join(packed.select("project_id", "path"), ["project_id", "path"], "left_anti"))
+
+
+def unplaced(files: DataFrame, packed: DataFrame, budget: int) -> DataFrame:
+    """The files in no batch: (project_id, path, size, reason)."""
+    left = files.join(packed.select("project_id", "path"), ["project_id", "path"], "left_anti")
+    reason = F.when(F.col("size") > budget, F.lit("over budget")).otherwise(F.lit("not asked for"))
+    return left.select("project_id", "path", F.col("size").cast("long").alias("size"), reason.alias("reason"))
 
 
 def empty_batches(files: DataFrame, packed: DataFrame, budget: int) -> DataFrame:
-    """Projects whose files are all too large: they get one batch without files."""
-    left = files.groupBy("project_id").agg(F.min("size").alias("least")).filter(F.col("least") > budget)
-    return left.select("project_id", F.lit(1).alias("batch_no"))
+    """Projects with files over the budget end with one batch without files."""
+    left = unplaced(files, packed, budget).select("project_id").distinct()
+    last = packed.groupBy("project_id").agg(F.max("batch_no").alias("last"))
+    return left.join(last, "project_id", "left").select("project_id", (F.coalesce("last", F.lit(0)) + 1).alias("batch_no"))
 
 
 def with_tokens(packed: DataFrame, focus: Column) -> DataFrame:

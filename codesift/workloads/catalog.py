@@ -257,8 +257,7 @@ def _truth(s, d) -> DataFrame:
 
 def _weighted(s, d) -> DataFrame:
     f = _f(s, d)
-    keyed = f.join(merge.near_duplicates(f).select("finding_id", "merge_key"), "finding_id")
-    return merge.weighted_confidence(keyed, len(corpus.AUDITORS))
+    return merge.weighted_confidence(merge.with_merge_key(f), len(corpus.AUDITORS))
 
 
 def _audited(s, d) -> DataFrame:
@@ -347,6 +346,8 @@ PACKING = {
     "agg_dominant_language": lambda s, d: aggregates.dominant_language(_files(s, d)),
     "agg_coverage": lambda s, d: aggregates.coverage(_files(s, d), corpus.seen_files(s, d)),
     "pack_initial": lambda s, d: _rounded(_packed(s, d)),
+    "pack_unplaced": lambda s, d: packing.unplaced(f := _lean(s, d), packing.pack_initial(f, BUDGET), BUDGET),
+    "pack_empty": lambda s, d: packing.empty_batches(f := _lean(s, d), packing.pack_initial(f, BUDGET), BUDGET),
     "pack_suspicion": lambda s, d: _rounded(packing.pack_suspicion(_lean(s, d), _strong(s, d), BUDGET)),
     "pack_next_pass": lambda s, d: _rounded(packing.pack_next(_lean(s, d), corpus.seen_files(s, d), _strong(s, d), BUDGET)),
     "batch_tokens": lambda s, d: _packed(s, d).select("project_id", "batch_no", "est_tokens").distinct(),

@@ -530,7 +530,7 @@ _FILE = "struct(path varchar, size bigint, score double)"
 _EMPTY = f"[]::{_FILE}[]"
 
 
-def pack_cte(name: str, source: str, order: str, batches: int, budget: int = 84_288, max_files: int = 10) -> str:
+def pack_cte(name: str, source: str, order: str, batches: int | None, budget: int = 84_288, max_files: int = 10) -> str:
     """CTEs ending in ``name``(project_id, batch_no, place, path, size, attack_score)."""
     def cell(f: str) -> str:
         return f"{{'took': {_EMPTY}, 'rest': [{f}], 'left': 0::bigint}}"
@@ -542,10 +542,10 @@ def pack_cte(name: str, source: str, order: str, batches: int, budget: int = 84_
     file = "{'path': path, 'size': size::bigint, 'score': attack_score}"
     return f"""
 {name}_run(project_id, batch_no, todo, took) as (
-  select project_id, 0, list({cell(file)} order by {order}), {_EMPTY} from ({source}) group by project_id
+  select project_id, 0, list({cell(file)} order by {order}), {_EMPTY} from ({source}) where size <= {budget} group by project_id
   union all
   select project_id, batch_no + 1, list_transform(st.rest, lambda f: {cell('f')}), st.took from (
-    select project_id, batch_no, {fold} as st from {name}_run where len(todo) > 0 and (batch_no = 0 or len(took) > 0) and batch_no < {batches})),
+    select project_id, batch_no, {fold} as st from {name}_run where len(todo) > 0 and (batch_no = 0 or len(took) > 0){f' and batch_no < {batches}' if batches else ''})),
 {name} as (select project_id, cast(batch_no as int) as batch_no, cast(place as int) as place, f.path as path, f.size as size, round(f.score, 2) as attack_score
   from (select project_id, batch_no, unnest(took) as f, generate_subscripts(took, 1) as place from {name}_run))"""
 
@@ -556,16 +556,20 @@ def tokens(name: str, focus: int, reaudit: str) -> str:
 
 
 def batches_sql() -> dict[str, str]:
-    first = f"with recursive {FEATS},{pack_cte('pk', 'select * from feats', 'attack_score desc, path', 50)}"
+    first = f"with recursive {FEATS},{pack_cte('pk', 'select * from feats', 'attack_score desc, path', None)}"
     both = "select *, 0 as turn from targets union all select *, 1 from neighbours"
     again = pack_cte("ag", both, "turn, attack_score desc, path", 1)
     unseen = "select * from feats where attack_score > 0.1 and (project_id, path) not in (select (project_id, path) from seen)"
-    fresh = pack_cte("fr", unseen, "attack_score desc, path", 50)
+    fresh = pack_cte("fr", unseen, "attack_score desc, path", None)
     nxt = (f"recursive {STRONG},{again},{fresh},\nbatches as (select * replace (0 as batch_no) from ({tokens('ag', 800, 'true')}) "
            f"union all select * from ({tokens('fr', 0, 'false')}))")
     return {
         "pack_initial": f"{first} {tokens('pk', 0, 'false')}",
         "batch_tokens": f"{first} select distinct project_id, batch_no, est_tokens from ({tokens('pk', 0, 'false')})",
+        "pack_unplaced": f"{first} select project_id, path, cast(size as bigint) as size, 'over budget' as reason from feats "
+                         "where (project_id, path) not in (select (project_id, path) from pk)",
+        "pack_empty": f"{first} select project_id, cast(coalesce(max(batch_no), 0) + 1 as int) as batch_no from "
+                      "(select distinct project_id from feats where size > 84288) left join pk using (project_id) group by project_id",
         "join_summarized": f"{first} select b.project_id, b.batch_no, count(*) as n_summaries from (select distinct project_id, batch_no from pk) b "
                            "join feats f on f.project_id = b.project_id where (b.project_id, b.batch_no, f.path) not in (select (project_id, batch_no, path) from pk) group by all",
         "pack_suspicion": f"with recursive {STRONG},{again} {tokens('ag', 800, 'true')}",

@@ -345,3 +345,21 @@ def test_title_links_stay_linear_in_a_hot_file(spark):
     rows = spark.range(3000).selectExpr("concat('s', id) as id", "'p' as project_id", "'f' as file",
                                         "array_sort(array('check', 'missing', 'in', concat('fn', id))) as tokens")
     assert merge.title_links(rows).count() < 3 * 3000
+
+
+def test_packing_places_every_file(spark):
+    files = [(f"f{i:03d}", 100, (i * 37 % 100) / 100) for i in range(700)] + [("big", 90_000, 1.0)]
+    df = spark.createDataFrame([("p", *f) for f in files], "project_id string, path string, size long, attack_score double")
+    packed = packing.pack_initial(df, 84_288)
+    got = sorted((r["batch_no"], r["place"], r["path"]) for r in packed.collect())
+    assert got == sorted(_pack_slow(files, 84_288, packing.MAX_FILES, 1000)) and len(got) == 700
+    left = [tuple(r) for r in packing.unplaced(df, packed, 84_288).collect()]
+    assert left == [("p", "big", 90_000, "over budget")]
+    assert [tuple(r) for r in packing.empty_batches(df, packed, 84_288).collect()] == [("p", 71)]
+
+
+def test_repeated_finding_ids_do_not_fan_out(spark):
+    row = ("x", "p", "f", "auditor-1", 0, "High", "Unsafe transfer in a", 5, "dos")
+    df = spark.createDataFrame([row, row, ("y", *row[1:])], "finding_id string, project_id string, file string, auditor_id string, pass_no int, "
+                               "severity string, title string, line int, category string")
+    assert [r["n_findings"] for r in merge.merge_findings(df).collect()] == [3]
