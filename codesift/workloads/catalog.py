@@ -209,7 +209,7 @@ SCAN |= {
 
 
 def _strong(s, d) -> DataFrame:
-    return paths.confidence_filter(_notes(s, d), 0.9)
+    return paths.confidence_filter(_notes(s, d))
 
 
 def _neighbours(s, d) -> DataFrame:

@@ -316,7 +316,7 @@ MATCH = ("(n.target_file = f.path or string_split(n.target_file, '/')[-1] = stri
          "or contains(f.path, n.target_file) or contains(n.target_file, f.path))")
 NOTES_FEATS = NOTES + FEATS[len(FILES):]
 STRONG = f"""{NOTES_FEATS},
-targets as (select * from feats f where exists (select 1 from notes n where n.project_id = f.project_id and n.confidence >= 0.9 and {MATCH})),
+targets as (select * from feats f where exists (select 1 from notes n where n.project_id = f.project_id and n.confidence >= 0.7 and {MATCH})),
 neighbours as (select * from feats f where not exists (select 1 from targets t where t.project_id = f.project_id and t.path = f.path)
   and exists (select 1 from targets t where t.project_id = f.project_id and (
     len(list_filter(t.imports, lambda x: contains(f.path, x) or contains(x, string_split(f.path, '/')[-1]))) > 0
@@ -585,7 +585,7 @@ def _prompt_sql(nxt: str) -> str:
 heads as (select project_id, batch_no, bool_or(is_reaudit) as again from batches group by all),
 ctx as (select 'src' || query_id as project_id, context from ({context})),
 led as (select * from ({block})),
-strong as (select * from notes where confidence >= 0.9),
+strong as (select * from notes where confidence >= 0.7),
 parts as (
   select project_id, batch_no, 2 as section, 0 as place, '' as path, '=== SECURITY CONTEXT ===' || chr(10) || context as text from heads join ctx using (project_id)
   union all select project_id, batch_no, 3, 0, '', block from heads join led using (project_id)
