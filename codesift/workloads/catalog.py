@@ -25,7 +25,7 @@ def _found(s, d) -> DataFrame:
 
 
 def _diverse(s, d) -> DataFrame:
-    return retrieval.retrieve_diverse(corpus.project_queries(s, d), corpus.store_docs(s, d), corpus.label_centroids(s, d), clusters=4)
+    return retrieval.retrieve_diverse(corpus.project_queries(s, d), corpus.store_docs(s, d), corpus.label_centroids(s, d), clusters=10)
 
 
 def _embeddings(s, d) -> DataFrame:
@@ -52,9 +52,9 @@ def _kmeans_fit(s, d) -> DataFrame:
 VECTORS = {
     "cosine_similarity": _cosine,
     "join_vector_centroid": _vector_centroid,
-    "topk_clusters": lambda s, d: retrieval.topk_clusters(corpus.project_queries(s, d), corpus.label_centroids(s, d), 4),
+    "topk_clusters": lambda s, d: retrieval.topk_clusters(corpus.project_queries(s, d), corpus.label_centroids(s, d), 10),
     "topk_per_cluster": lambda s, d: retrieval.topk_per_cluster(
-        q := corpus.project_queries(s, d), corpus.store_docs(s, d), retrieval.topk_clusters(q, corpus.label_centroids(s, d), 4)),
+        q := corpus.project_queries(s, d), corpus.store_docs(s, d), retrieval.topk_clusters(q, corpus.label_centroids(s, d), 10)),
     "topk_plain": lambda s, d: retrieval.retrieve_topk(corpus.project_queries(s, d), corpus.store_docs(s, d)).drop("cluster_id"),
     "retrieve_cluster_diverse": _diverse,
     "limit_raw_findings": lambda s, d: retrieval.limit_raw_findings(_found(s, d)).drop("page_content"),

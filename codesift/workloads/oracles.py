@@ -105,15 +105,15 @@ found as (select query_id, rank, label, severity, protocol, page_content from di
 
 
 def vector_sql() -> dict[str, str]:
-    dv = DIVERSE.replace("{n}", "4")
+    dv = DIVERSE.replace("{n}", "10")
     keywords = lst(KEYWORDS)
     return {
         "cosine_similarity": f"with {QUERIES} select vec_id, {COS.format(a='s.embedding', b='c.vector')} as similarity "
                              "from store s join centroids c using (cluster_id)",
         "join_vector_centroid": f"with {QUERIES} select vec_id, c.cluster_id, {COS.format(a='e.v', b='c.vector')} as similarity "
                                 "from (select vec_id, embedding::double[] as v from embeddings) e, centroids c",
-        "topk_clusters": f"with {TOP_CLUSTERS.replace('{n}', '4')} select * from chosen",
-        "topk_per_cluster": f"with {PER_CLUSTER.replace('{n}', '4')} select * from hits",
+        "topk_clusters": f"with {TOP_CLUSTERS.replace('{n}', '10')} select * from chosen",
+        "topk_per_cluster": f"with {PER_CLUSTER.replace('{n}', '10')} select * from hits",
         "topk_plain": f"with {QUERIES}, t as (select query_id, vec_id, {COS.format(a='q.embedding', b='s.embedding')} as similarity from queries q, store s) "
                       "select query_id, vec_id, similarity from t qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 10",
         "retrieve_cluster_diverse": f"with {dv} select * from diverse",
