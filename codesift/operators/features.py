@@ -28,8 +28,8 @@ SKIP_SUFFIXES_ANY_CASE = (
     r"\.e2e\.(?:js|ts)|hardhat\.config\.(?:js|ts)|\.eslintrc\.[a-z]+|\.prettierrc\.[a-z]+")
 # ---------------------------------------------------------------------------
 
-_SKIP = [rf"(?:^|/)(?:{SKIP_DIRS})/|__pycache__/|(?:{SKIP_NAMES})$",
-         rf"(?i)(?:^|/)(?:{SKIP_DIRS_ANY_CASE})/|(?:{SKIP_SUFFIXES_ANY_CASE})$"]
+SKIP_PATTERNS = [rf"(?:^|/)(?:{SKIP_DIRS})/|__pycache__/|(?:{SKIP_NAMES})$",
+                 rf"(?i)(?:^|/)(?:{SKIP_DIRS_ANY_CASE})/|(?:{SKIP_SUFFIXES_ANY_CASE})$"]
 
 
 def normal_path(path: Column) -> Column:
@@ -39,7 +39,7 @@ def normal_path(path: Column) -> Column:
 def skips(path: Column) -> Column:
     """The path itself looks like something that is not audited."""
     p = normal_path(path)
-    return p.rlike(_SKIP[0]) | p.rlike(_SKIP[1])
+    return p.rlike(SKIP_PATTERNS[0]) | p.rlike(SKIP_PATTERNS[1])
 
 
 def skips_in_tree(path: Column) -> Column:

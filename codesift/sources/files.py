@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,19 +14,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions.features import is_binary
-from codesift.operators.features import featurize_files, normal_path, skips, skips_in_tree
+from codesift.operators.features import SKIP_PATTERNS, featurize_files, skips_in_tree
 
 EMBEDDING_SCHEMA = "docIndex bigint, embedding array<float>, category string"
 
+ENTRY_CHARS = 8 << 20  # characters of archive entries handed on at a time
 
-def _below(path: Column, root: str) -> Column:
-    """The part of a file's full path below ``root``."""
-    root = root.rstrip("/")
-    return F.substring(path, F.instr(path, root) + len(root) + 1, F.length(path))
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def _below(path: Column, root: str, strict: bool = True) -> Column:
+    """The part of a file's full path below ``root``; scheme and host of both do not count.
+    A path that is not below the root is an error, or null if not ``strict``."""
+    base = re.sub("/+", "/", re.sub(_SCHEME, "", root)).rstrip("/").removeprefix("./") + "/"
+    plain = F.regexp_replace(F.regexp_replace(path, _SCHEME, ""), "/+", "/")
+    # A relative root is completed by the file system, so it stands somewhere inside.
+    inside = F.instr(plain, base if base.startswith("/") else f"/{base}")
+    at = inside + len(base) + (0 if base.startswith("/") else 1)
+    found = (inside == 1) if base.startswith("/") else (inside > 0)
+    other = F.raise_error(F.concat(F.lit(f"not below {root}: "), path)).cast("string") if strict else F.lit(None).cast("string")
+    return F.when(found, F.substring(plain, at, F.length(plain))).otherwise(other)
 
 
 def _text(content: Column) -> Column:
-    return F.decode(content, "UTF-8")
+    """Bytes as text; what is not UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def read_tree(spark: SparkSession, root: str, project_id: str | None = None) -> DataFrame:
@@ -33,7 +47,9 @@ def read_tree(spark: SparkSession, root: str, project_id: str | None = None) ->
     content is read; unreadable files are left out."""
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root))
-    kept = raw.filter(~skips_in_tree(_below(F.col("_metadata.file_path"), root)))
+    # The metadata's path is percent-encoded; a plus sign in it is one.
+    listed = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    kept = raw.filter(F.coalesce(~skips_in_tree(_below(listed, root, strict=False)), F.lit(True)))
     rel = _below(F.col("path"), root)
     named = kept.select((F.lit(project_id) if project_id else F.split_part(rel, F.lit("/"), F.lit(1))).alias("project_id"),
                         (rel if project_id else F.substring(rel, F.instr(rel, "/") + 1, F.length(rel))).alias("path"),
@@ -42,22 +58,29 @@ def read_tree(spark: SparkSession, root: str, project_id: str | None = None) ->
 
 
 def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Text entries of each archive, one archive at a time."""
+    """Text entries of each archive, in portions; entries that are not audited are not unpacked."""
+    skipped = [re.compile(p) for p in SKIP_PATTERNS]
     for pdf in batches:
         for project, blob in zip(pdf["project_id"], pdf["content"]):
-            rows = []
+            rows, held = [], 0
             try:
                 with zipfile.ZipFile(io.BytesIO(blob)) as z:
                     for info in z.infolist():
-                        if info.is_dir():
+                        if info.is_dir() or any(p.search(info.filename.replace("\\", "/")) for p in skipped):
                             continue
                         try:
-                            rows.append((project, info.filename, z.read(info).decode("utf-8", "replace")))
-                        except (OSError, RuntimeError, zipfile.BadZipFile):
+                            text = z.read(info).decode("utf-8", "replace")
+                        except (OSError, RuntimeError, ValueError, zlib.error, zipfile.BadZipFile):
                             continue
+                        rows.append((project, info.filename, text))
+                        held += len(text)
+                        if held >= ENTRY_CHARS:
+                            yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
+                            rows, held = [], 0
             except zipfile.BadZipFile:
                 continue
-            yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
 
 
 def read_zips(spark: SparkSession, glob: str, project_id: str | None = None) -> DataFrame:
@@ -66,7 +89,7 @@ def read_zips(spark: SparkSession, glob: str, project_id: str | None = None) ->
     name = F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.zip$", "")
     blobs = raw.select((F.lit(project_id) if project_id else name).alias("project_id"), "content")
     text = blobs.mapInPandas(_entries, "project_id string, path string, content string")
-    return featurize_files(text.filter(~skips(F.col("path")) & ~is_binary(F.col("content"))))
+    return featurize_files(text.filter(~is_binary(F.col("content"))))
 
 
 def read_sources(spark: SparkSession, path: str, project_id: str = "project") -> DataFrame:
@@ -91,8 +114,22 @@ def read_reports(spark: SparkSession, root: str) -> DataFrame:
                     _text(F.col("content")).alias("content")))
 
 
+def _embedding_rows(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.schema(f"{EMBEDDING_SCHEMA}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
+    reason = F.when(F.col("_bad").isNotNull(), F.lit("not parsed")).when(F.col("docIndex").isNull(), F.lit("no docIndex"))
+    return raw.withColumn("reason", reason)
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines {docIndex, embedding, category}; blank lines are skipped."""
-    return (spark.read.schema(EMBEDDING_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-            .filter(F.col("docIndex").isNotNull())
+    """JSON lines {docIndex, embedding, category}; blank lines are skipped, rows that do
+    not parse or have no docIndex are in :func:`embedding_rejects`."""
+    return (_embedding_rows(spark, path).filter(F.col("reason").isNull())
             .select(F.col("docIndex").alias("vec_id"), "embedding", "category"))
+
+
+def embedding_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason, text) of the rows that :func:`read_embeddings` leaves out."""
+    rows = _embedding_rows(spark, path)
+    return (rows.filter(F.col("reason").isNotNull())
+            .select(F.col("_metadata.file_path").alias("file"), "reason",
+                    F.coalesce("_bad", F.to_json(F.struct("embedding", "category"))).alias("text")))

@@ -369,7 +369,7 @@ def _ingested(s, d, runs: int) -> DataFrame:
     out = work_dir(s)
     for n in range(runs):
         ingest.ingest_stream(_report_stream(s, d), out, f"{out}/checkpoint-{n}").awaitTermination()
-    return s.read.parquet(f"{out}/chunks").select("rel_path", "section_no", "finding_id", "chunk_index", "page_content")
+    return ingest.read_chunks(s, out).select("rel_path", "section_no", "finding_id", "chunk_index", "page_content")
 
 
 def _chunks(s, d) -> DataFrame:
