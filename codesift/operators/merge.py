@@ -186,13 +186,20 @@ def union_findings(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def fallback_findings(findings: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` raw findings of each project with the base confidence."""
+def fallback_findings(findings: DataFrame, merged: DataFrame | None = None, n: int | None = None) -> DataFrame:
+    """Raw findings, with the base confidence, of the projects that have no merged one
+    (of all, without ``merged``); the first ``n`` of a project if asked for."""
+    if merged is not None:
+        findings = findings.join(merged.select("project_id").distinct(), "project_id", "left_anti")
+    out = findings if n is None else _first_findings(findings, n)
+    return out.withColumn("confidence", F.lit(BASE_CONFIDENCE)).withColumn("auditors", F.array("auditor_id"))
+
+
+def _first_findings(findings: DataFrame, n: int) -> DataFrame:
     part = findings.withColumn("part", F.pmod(F.xxhash64("finding_id"), F.lit(64)))
     cut = part.withColumn("rn", F.row_number().over(Window.partitionBy("project_id", "part").orderBy("finding_id"))).filter(F.col("rn") <= n)
     w = Window.partitionBy("project_id").orderBy("finding_id")
-    return (cut.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn", "part")
-            .withColumn("confidence", F.lit(BASE_CONFIDENCE)).withColumn("auditors", F.array("auditor_id")))
+    return cut.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).drop("rn", "part")
 
 
 def agg_severity_counts(findings: DataFrame) -> DataFrame:

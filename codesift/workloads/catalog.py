@@ -353,6 +353,7 @@ PACKING = {
     "batch_tokens": lambda s, d: _packed(s, d).select("project_id", "batch_no", "est_tokens").distinct(),
     "pass_plan": _passes,
     "prompt_dataset": lambda s, d: _prompts(s, d).select("project_id", "batch_no", "section", "place", "path", F.md5("text").alias("text_md5")),
+    "render_report_map": lambda s, d: render.map_section(_map(s, d)).select("project_id", "rank", "file", "merge_key", "text"),
     "render_map": lambda s, d: _map(s, d).select("project_id", "part", "path", "sub", "pass_no", "text"),
 }
 

@@ -382,8 +382,7 @@ def findings_sql() -> dict[str, str]:
         "agg_severity_counts": f"""with {FND} select p.project_id, s.severity, count(f.finding_id) as n from (select distinct project_id from fnd) p
             cross join (select unnest(['Critical','High','Medium','Low','Info']) as severity) s left join fnd f using (project_id, severity) group by all""",
         "sort_report": f"with {MERGED} select project_id, severity, confidence, file, merge_key from merged order by project_id, {SEV}, confidence desc, file, merge_key",
-        "fallback_findings": f"with {FND} select project_id, finding_id, 0.6::double as confidence, auditor_id as auditors from fnd "
-                             "qualify row_number() over (partition by project_id order by finding_id) <= 20",
+        "fallback_findings": f"with {FND} select project_id, finding_id, 0.6::double as confidence, auditor_id as auditors from fnd",
         "eval_coverage": f"""with {TOK}, truth as (select * from tok where auditor_id = 'auditor-1'),
             s as (select a.finding_id as truth_id, b.auditor_id, max(case when {JAC} then 2 when abs(a.line - b.line) <= 5 then 1 else 0 end) as hit
               from truth a join tok b on a.project_id = b.project_id and a.file = b.file group by all)
@@ -482,24 +481,29 @@ def packing_sql() -> dict[str, str]:
     f = f"with {FEATS}"
     rule = "repeat('═', 52)"
     score = "case when attack_score > 0 then printf(' score:%.2f', attack_score) else '' end"
+    project_map = f"""with {NOTES_FEATS}, {SUMMARIES}, {INJECTED},
+        about as (select s.project_id, '{{h}}PROTOCOL MAP — ' || name || ' (' || n || ' files · ' || language || ')' || chr(10) || {rule} || chr(10) as text from
+          (select project_id, count(*) as n from feats group by all) s join (select project_id, {NAME} as name from {FIRST}) using (project_id)
+          join (select project_id, language from (select project_id, language, count(*) as n from feats group by all)
+            qualify row_number() over (partition by project_id order by n desc, language desc) = 1) using (project_id))
+        select project_id, 0 as part, '' as path, 0 as sub, 0 as pass_no, replace(text, '{{h}}', '') as text from about
+        union all select project_id, 2, '', 0, 0, {rule} from about
+        union all select project_id, 1, path, 0, 0, '[' || path || ']' || {score} || chr(10) || '  What it does: ' || summary
+          || case when entry_points <> '' then chr(10) || '  Entry points: ' || entry_points else '' end
+          || case when deps <> '' then chr(10) || '  Calls into: ' || deps else '' end from summaries
+        union all select project_id, 1, path, 2, 0, '' from summaries
+        union all select project_id, 1, path, 1, pass_no, '  ⚠ Suspicion [Pass ' || pass_no || ']: ' || note from injected"""
     return {
         "agg_project_size": f"{f} select project_id, cast(sum(size) as bigint) as total_chars, case when sum(size) <= 84288 * 0.85 then 'small' "
                             "when sum(size) <= 84288 * 3 then 'medium' else 'large' end as project_size from feats group by project_id",
         "agg_dominant_language": f"{f} select project_id, language from (select project_id, language, count(*) as n from feats group by all) "
                                  "qualify row_number() over (partition by project_id order by n desc, language desc) = 1",
         "agg_coverage": f"{f} select project_id, bool_and(attack_score <= 0.3 or (project_id, path) in (select (project_id, path) from seen)) as covered from feats group by project_id",
-        "render_map": f"""with {NOTES_FEATS}, {SUMMARIES}, {INJECTED},
-            about as (select s.project_id, '{{h}}PROTOCOL MAP — ' || name || ' (' || n || ' files · ' || language || ')' || chr(10) || {rule} || chr(10) as text from
-              (select project_id, count(*) as n from feats group by all) s join (select project_id, {NAME} as name from {FIRST}) using (project_id)
-              join (select project_id, language from (select project_id, language, count(*) as n from feats group by all)
-                qualify row_number() over (partition by project_id order by n desc, language desc) = 1) using (project_id))
-            select project_id, 0 as part, '' as path, 0 as sub, 0 as pass_no, replace(text, '{{h}}', '') as text from about
-            union all select project_id, 2, '', 0, 0, {rule} from about
-            union all select project_id, 1, path, 0, 0, '[' || path || ']' || {score} || chr(10) || '  What it does: ' || summary
-              || case when entry_points <> '' then chr(10) || '  Entry points: ' || entry_points else '' end
-              || case when deps <> '' then chr(10) || '  Calls into: ' || deps else '' end from summaries
-            union all select project_id, 1, path, 2, 0, '' from summaries
-            union all select project_id, 1, path, 1, pass_no, '  ⚠ Suspicion [Pass ' || pass_no || ']: ' || note from injected""",
+        "render_map": project_map,
+        "render_report_map": f"""with m as ({project_map})
+            select project_id, part + 1 as rank, path as file, sub || '-' || lpad(cast(pass_no as varchar), 5, '0') as merge_key, text from m
+            union all select project_id, 0, '', '', '## Protocol Map' || chr(10) || chr(10) || repeat('`', 3) from m where part = 0
+            union all select project_id, 4, '', '', repeat('`', 3) from m where part = 0""",
     }
 
 
@@ -592,6 +596,7 @@ parts as (
   union all select project_id, batch_no, 4, 0, '', '=== PASS 2 FOCUS — INVESTIGATE THESE SPECIFICALLY ===' from heads where again
   union all select h.project_id, batch_no, 4, 1, target_file, '• ' || target_file || case when target_function is not null then ' → ' || target_function else '' end
     || chr(10) || '  Reason: ' || reason || ' [confidence: ' || confidence || ']' from heads h join strong n on n.project_id = h.project_id where again
+      and exists (select 1 from feats f where f.project_id = n.project_id and {MATCH})
   union all select project_id, batch_no, 4, 2, '', 'These were flagged in a previous pass. Prioritize them.' from heads where again
   union all select project_id, batch_no, 5, 0, '', '=== CONTRACT CODE ===' from heads
   union all select b.project_id, b.batch_no, 5, b.place, b.path, '// ═══ ' || b.path || ' [' || f.language || '] ═══' || chr(10) || f.content

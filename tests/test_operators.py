@@ -12,7 +12,7 @@ from codesift.functions import reports as rx
 from codesift.operators import aggregates, clusters, features, merge, nearest, packing, paths, reports, responses, retrieval
 from codesift.operators.components import connected_components
 from codesift.plans.passes import plan_passes
-from codesift.plans.render import map_in_order, map_rows, summarize_files
+from codesift.plans.render import map_in_order, map_rows, map_section, prompt_rows, report_in_order, report_rows, summarize_files
 
 HEADERS = {
     "## [H-01] Title": ("H-01", "High"), "## [H-01]: Title": ("H-01", "High"), "## H-01: Title": ("H-01", "High"),
@@ -363,3 +363,34 @@ def test_repeated_finding_ids_do_not_fan_out(spark):
     df = spark.createDataFrame([row, row, ("y", *row[1:])], "finding_id string, project_id string, file string, auditor_id string, pass_no int, "
                                "severity string, title string, line int, category string")
     assert [r["n_findings"] for r in merge.merge_findings(df).collect()] == [3]
+
+
+def test_report_ends_with_the_map(spark):
+    project_map = spark.createDataFrame([("p", 0, 0.0, "", 0, 0, "HEAD"), ("p", 1, 0.5, "a.sol", 0, 0, "[a.sol]"), ("p", 1, 0.9, "b.sol", 0, 0, "[b.sol]"),
+                                         ("p", 1, 0.5, "a.sol", 1, 2, "note"), ("p", 2, 0.0, "", 0, 0, "FOOT")],
+                                        "project_id string, part int, score double, path string, sub int, pass_no int, text string")
+    findings = spark.createDataFrame([], "project_id string, severity string, title string, file string, line int, confidence double, "
+                                         "auditors array<string>, description string, exploit string, recommendation string, merge_key string")
+    audited = spark.createDataFrame([("p", 2)], "project_id string, n_files int")
+    rows = report_in_order(report_rows(findings, audited, "t", 1.0, ["m"], project_map=project_map)).collect()
+    assert "*No vulnerabilities found.*" in rows[0]["text"]
+    assert [r["text"] for r in rows[1:]] == ["## Protocol Map\n\n```", "HEAD", "[b.sol]", "[a.sol]", "note", "FOOT", "```"]
+    assert map_section(project_map.limit(0)).isEmpty()
+
+
+def test_focus_lists_only_notes_that_hit_a_file(spark):
+    batches = spark.createDataFrame([("p", 2, 0, 1, "src/A.sol", True)], "project_id string, pass_no int, batch_no int, place int, path string, is_reaudit boolean")
+    files = spark.createDataFrame([("p", "src/A.sol", "solidity", "x")], "project_id string, path string, language string, content string")
+    notes = spark.createDataFrame([("p", "A.sol", None, "why", 0.9), ("p", "Gone.sol", None, "why", 0.9)],
+                                  "project_id string, target_file string, target_function string, reason string, confidence double")
+    blocks = spark.createDataFrame([("p", "c", "b")], "project_id string, context string, block string")
+    rows = prompt_rows(batches, files, blocks.drop("block"), blocks.drop("context"), notes).filter("section = 4 and place = 1").collect()
+    assert [r["path"] for r in rows] == ["A.sol"]
+
+
+def test_fallback_is_for_projects_without_merged_findings(spark):
+    raw = spark.range(50).selectExpr("concat('f', lpad(id, 2, '0')) as finding_id", "concat('p', id % 2) as project_id", "'m' as auditor_id")
+    merged = spark.createDataFrame([("p0",)], "project_id string")
+    assert {r["project_id"] for r in merge.fallback_findings(raw, merged).collect()} == {"p1"}
+    assert merge.fallback_findings(raw, merged).count() == 25 and merge.fallback_findings(raw).count() == 50
+    assert [r["finding_id"] for r in merge.fallback_findings(raw, merged, 2).orderBy("finding_id").collect()] == ["f01", "f03"]
