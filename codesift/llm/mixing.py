@@ -41,6 +41,16 @@ def size_of(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """The sources numbered from 0 in the order of their code points, null last: a range sort, then the place within a
+    range plus the rows of the ranges before it, so no task holds all sources."""
+    order = F.col("source").asc_nulls_last()
+    ranged = cut_lineage(sizes.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    before = ranged.groupBy("range").count().select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
+    placed = ranged.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1)
+    return placed.join(before, "range").select("source", "source_size", (F.col("before") + F.col("place")).alias("rank"))
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> also target.  ``sizes`` has one row a source.
 
@@ -48,9 +58,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     and the excess goes to the others by weight, until none is above: each round needs the two sums of the free and the
     stopped sources only.
     """
-    spark = sizes.sparkSession
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    ranked = cut_lineage(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int")).cast("double")))
+    ranked = _numbered(sizes)
+    ranked = cut_lineage(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("double")))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     limit = F.col("source_size").cast("double") * MAX_COPIES
     unit, stopped = 0.0, -1
@@ -164,9 +173,14 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("_key", key)
     taken = keyed.join(plan.filter("_n = 1"), F.col("_key") == F.col("_k")).withColumn("_t", F.col("_takes"))
     if not plan.filter("_n > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-        more = keyed.join(plan.filter("_n > 1"), F.col("_key") == F.col("_k")).withColumn("_r", rank)
-        taken = taken.unionByName(more.withColumn("_t", _each(F.col("_takes"), F.col("_n"), F.col("_r"))).drop("_r")).filter("_t > 0")
+        # Rows of one unit are numbered by runs of the scan, so that a unit with very many rows is spread.
+        runs = keyed.withColumn("_run", F.floor(F.monotonically_increasing_id() / GROUP_ROWS))
+        more = cut_lineage(runs.join(plan.filter("_n > 1"), F.col("_key") == F.col("_k")))
+        counts = more.groupBy("_key", "_run").count()
+        before = counts.select("_key", "_run", (F.sum("count").over(Window.partitionBy("_key").orderBy("_run")) - F.col("count")).alias("_before"))
+        place = F.row_number().over(Window.partitionBy("_key", "_run").orderBy(F.lit(1)))
+        placed = more.withColumn("_r", place).join(before, ["_key", "_run"]).withColumn("_r", F.col("_r") + F.col("_before"))
+        taken = taken.unionByName(placed.withColumn("_t", _each(F.col("_takes"), F.col("_n"), F.col("_r"))).drop("_r", "_run", "_before")).filter("_t > 0")
     return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
