@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ STEP_CONFIDENCE = 0.2
 LINE_GAP = 5
 JACCARD = 0.5
 MAX_SUBSET = 8  # titles with more tokens are matched by their rare tokens
+BLOCK_SETS = 512  # titles of a block, where a rare token has very many
 PASS_WEIGHTS = {"broad": 1.0, "targeted": 1.3, "verification": 1.6}
 
 
@@ -67,7 +70,7 @@ def title_links(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
     key = ["project_id", "file", "size", "other", "part"]
     low = _seen_from_other(keys.groupBy(*key).agg(F.min("id").alias("low")), "low")
     return (keys.join(low, key).select(F.col("id").alias("a"), F.col("low").alias("b")).filter(F.col("a") != F.col("b"))
-            .unionByName(long_pairs(sets, sets, jaccard).toDF("a", "b").filter(F.col("a") < F.col("b"))).distinct())
+            .unionByName(long_links(sets, jaccard)).distinct())
 
 
 def title_matches(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
@@ -79,41 +82,102 @@ def title_matches(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -
     lkeys = _subset_keys(lshort, rsizes, jaccard)
     rkeys = _seen_from_other(_subset_keys(rshort, lsizes, jaccard).select("project_id", "file", "size", "other", "part", "model").distinct(), "model")
     short = lkeys.join(rkeys, ["project_id", "file", "size", "other", "part"]).select("id", "model")
-    long_ = long_pairs(left, right, jaccard).join(right.select(F.col("id").alias("right_id"), "model"), "right_id")
-    return short.unionByName(long_.select(F.col("left_id").alias("id"), "model")).distinct()
-
-
-def long_pairs(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
-    """Distinct (left_id, right_id) of a file at or above the bound where one title
-    has more than MAX_SUBSET tokens.
-
-    Sets that reach the bound share a token among the rarest of each (prefix
-    filtering), so only those rare tokens are joined.
+    return short.unionByName(long_matches(left, right, jaccard)).distinct()
+
+
+def _alike(tokens: list, jaccard: float) -> np.ndarray:
+    """Which token sets reach the bound with each other."""
+    size = np.array([len(t) for t in tokens])
+    row = np.repeat(np.arange(len(tokens)), size)
+    _, code, times = np.unique(np.concatenate(tokens).astype(str), return_inverse=True, return_counts=True)
+    shared = times[code] > 1
+    kinds, code = np.unique(code[shared], return_inverse=True)
+    marks = np.zeros((len(tokens), len(kinds)), np.float32)
+    marks[row[shared], code] = 1
+    both = marks @ marks.T
+    return both >= jaccard * (size[:, None] + size[None, :] - both) - 1e-9
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, parent) that connect what a symmetric matrix of links connects, one a node at most."""
+    left = np.ones(len(linked), bool)
+    nodes, parents = [], []
+    for start in range(len(linked)):
+        front = np.array([start] if left[start] else [], int)
+        left[start] = False
+        while len(front):
+            hit = linked[front] & left
+            new = np.flatnonzero(hit.any(axis=0))
+            nodes.append(new)
+            parents.append(front[hit[:, new].argmax(axis=0)])
+            left[new] = False
+            front = new
+    return np.concatenate(nodes), np.concatenate(parents)
+
+
+def _blocks(left: DataFrame, right: DataFrame, jaccard: float, same: bool):
+    """Candidates of titles with more than MAX_SUBSET tokens, grouped by pairs of blocks of BLOCK_SETS sets.
+
+    Sets that reach the bound share a token among the rarest of each (prefix filtering), so sets meet on those rare
+    tokens only.  A token of very many sets is cut into blocks, and each pair of blocks is one group.
     """
+    key = ["project_id", "file", "token"]
+    carried = ["id", "project_id", "file", "tokens", "model"]
     # A long set meets sets of at least MAX_SUBSET * jaccard tokens.
-    left, right = (df.select("id", "project_id", "file", "tokens").filter(F.size("tokens") > MAX_SUBSET * jaccard) for df in (left, right))
-    words = left.unionByName(right).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    left, right = (df.select(*carried).filter(F.size("tokens") > MAX_SUBSET * jaccard) for df in (left, right))
+    words = (left if same else left.unionByName(right)).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
     def prefixes(df: DataFrame) -> DataFrame:
         place = df.withColumn("token", F.explode("tokens")).join(words, "token")
-        by_set = place.groupBy("id").agg(
-            F.first("project_id").alias("project_id"), F.first("file").alias("file"), F.first("tokens").alias("tokens"),
-            F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))  # as long as one title
+        by_set = place.groupBy(*carried).agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rare"))  # as long as one title
         keep = F.size("tokens") - F.ceil(F.size("tokens") * F.lit(jaccard) - 1e-9).cast("int") + 1
-        return by_set.select("id", "project_id", "file", "tokens", F.explode(F.slice("rare", F.lit(1), keep)["token"]).alias("token"))
+        return by_set.select(*carried, F.explode(F.slice("rare", F.lit(1), keep)["token"]).alias("token"))
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).alias(name), F.count_if(F.size("tokens") > MAX_SUBSET).alias(f"{name}_long"))
+
+    lp = cut_lineage(prefixes(left))
+    rp = lp if same else cut_lineage(prefixes(right))
+    parts = counts(lp, "lparts").join(counts(rp, "rparts"), key).filter("lparts_long + rparts_long > 0").select(*key, "lparts", "rparts")
+
+    def side(df: DataFrame, number: int, own: str, other: str, first: Column, last: Column) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.col(["lparts", "rparts"][number])).alias(own)
+        return df.join(parts, key).select(*key, *[c for c in carried if c not in key], part, "lparts", "rparts").withColumn(
+            other, F.explode(F.sequence(first, last))).withColumn("side", F.lit(number)).drop("lparts", "rparts")
+
+    zero = F.lit(0).cast("long")
+    # Within one set of titles each pair of blocks is met once.
+    a = side(lp, 0, "pa", "pb", F.col("pa") if same else zero, F.col("rparts") - 1)
+    b = side(rp, 1, "pb", "pa", zero, F.col("pb") if same else F.col("lparts") - 1)
+    return a.unionByName(b).groupBy(*key, "pa", "pb")
+
+
+def long_links(sets: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """Links (a, b) at or above the bound that connect all sets alike to a long one, at most one a set and pair of blocks."""
+    kind = sets.schema["id"].dataType.simpleString()
+
+    def link(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values("id", ignore_index=True)
+        node, parent = _forest(_alike(group["tokens"].tolist(), jaccard))
+        return pd.DataFrame({"a": group["id"][node].to_numpy(), "b": group["id"][parent].to_numpy()})
+
+    plain = sets.withColumn("model", F.lit(""))
+    return _blocks(plain, plain, jaccard, same=True).applyInPandas(link, f"a {kind}, b {kind}")
+
 
-    def long_(df: DataFrame) -> DataFrame:
-        return df.filter(F.size("tokens") > MAX_SUBSET)
+def long_matches(left: DataFrame, right: DataFrame, jaccard: float = JACCARD) -> DataFrame:
+    """(id, model) of the left sets with a right set at or above the bound, where one of both is long."""
+    kind = left.schema["id"].dataType.simpleString()
 
-    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = (a.withColumnsRenamed({"tokens": "left_tokens", "id": "left_id"})
-                 .join(b.withColumnsRenamed({"tokens": "right_tokens", "id": "right_id"}), ["project_id", "file", "token"]))
-        shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-        overlap = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
-        return pairs.filter(overlap >= jaccard).select("left_id", "right_id")
+    def match(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("side", ignore_index=True)
+        m = int((group["side"] == 0).sum())
+        linked = _alike(group["tokens"].tolist(), jaccard)[:m, m:]
+        models = group["model"][m:]
+        hits = [(i, k) for k in models.unique() for i in np.flatnonzero(linked[:, (models == k).to_numpy()].any(axis=1))]
+        return pd.DataFrame({"id": [group["id"][i] for i, _ in hits], "model": [k for _, k in hits]})
 
-    lp, rp = prefixes(left), prefixes(right)
-    return joined(long_(lp), rp).unionByName(joined(lp, long_(rp))).distinct()
+    return _blocks(left.withColumn("model", F.lit("")), right, jaccard, same=False).applyInPandas(match, f"id {kind}, model string").distinct()
 
 
 def near_duplicates(findings: DataFrame) -> DataFrame:

@@ -23,8 +23,7 @@ def _side(df: DataFrame, key: str, vector: str, group: Column | None = None) ->
 
 
 def vector_centroids(vectors: DataFrame, centroids: DataFrame, n: int) -> DataFrame:
-    """(query_id, cluster_id, similarity) of the best ``n`` centroids per vector;
-    with ``n`` at the number of centroids, of all of them."""
+    """(query_id, cluster_id, similarity) of the best ``n`` centroids per vector."""
     return topk_in_group(_side(vectors, "query_id", "embedding"), _side(centroids, "cluster_id", "vector"), n).select(
         F.col("left_id").alias("query_id"), F.col("right_id").cast("int").alias("cluster_id"), F.col("score").alias("similarity"))
 

@@ -39,9 +39,8 @@ def _cosine(s, d) -> DataFrame:
 
 
 def _vector_centroid(s, d) -> DataFrame:
-    cents = corpus.label_centroids(s, d)
-    every = retrieval.vector_centroids(_embeddings(s, d).withColumnRenamed("vec_id", "query_id"), cents, cents.count())
-    return every.withColumnRenamed("query_id", "vec_id")
+    near = retrieval.vector_centroids(_embeddings(s, d).withColumnRenamed("vec_id", "query_id"), corpus.label_centroids(s, d), 3)
+    return near.withColumnRenamed("query_id", "vec_id")
 
 
 def _kmeans_fit(s, d) -> DataFrame:
@@ -223,8 +222,7 @@ def _injected(s, d) -> DataFrame:
 
 def _summarized(s, d) -> DataFrame:
     files = _lean(s, d)
-    rows = render.batch_summaries(packing.pack_initial(files, BUDGET), render.summarize_files(files))
-    return rows.groupBy("project_id", "batch_no").agg(F.count(F.lit(1)).alias("n_summaries"))
+    return render.batch_summary_counts(packing.pack_initial(files, BUDGET), render.summarize_files(files))
 
 
 JOINS = {

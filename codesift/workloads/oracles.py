@@ -110,8 +110,9 @@ def vector_sql() -> dict[str, str]:
     return {
         "cosine_similarity": f"with {QUERIES} select vec_id, {COS.format(a='s.embedding', b='c.vector')} as similarity "
                              "from store s join centroids c using (cluster_id)",
-        "join_vector_centroid": f"with {QUERIES} select vec_id, c.cluster_id, {COS.format(a='e.v', b='c.vector')} as similarity "
-                                "from (select vec_id, embedding::double[] as v from embeddings) e, centroids c",
+        "join_vector_centroid": f"with {QUERIES}, t as (select vec_id, c.cluster_id, {COS.format(a='e.v', b='c.vector')} as similarity "
+                                "from (select vec_id, embedding::double[] as v from embeddings) e, centroids c) "
+                                "select * from t qualify row_number() over (partition by vec_id order by similarity desc, cluster_id) <= 3",
         "topk_clusters": f"with {TOP_CLUSTERS.replace('{n}', '10')} select * from chosen",
         "topk_per_cluster": f"with {PER_CLUSTER.replace('{n}', '10')} select * from hits",
         "topk_plain": f"with {QUERIES}, t as (select query_id, vec_id, {COS.format(a='q.embedding', b='s.embedding')} as similarity from queries q, store s) "

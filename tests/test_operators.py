@@ -347,6 +347,15 @@ def test_title_links_stay_linear_in_a_hot_file(spark):
     assert merge.title_links(rows).count() < 3 * 3000
 
 
+def test_long_titles_stay_linear_in_a_hot_file(spark, monkeypatch):
+    rows = spark.range(2000).selectExpr("concat('s', id) as id", "'p' as project_id", "'f' as file", "concat('m', id % 2) as model",
+                                        "array_sort(array('a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', concat('fn', id))) as tokens")
+    links = merge.title_links(rows)
+    assert links.select("a").distinct().count() >= 1999 and links.count() < 12 * 2000
+    found = merge.title_matches(rows.filter("id < 's2'"), rows.filter("id >= 's2'"))
+    assert found.count() == 2 * rows.filter("id < 's2'").count()
+
+
 def test_packing_places_every_file(spark):
     files = [(f"f{i:03d}", 100, (i * 37 % 100) / 100) for i in range(700)] + [("big", 90_000, 1.0)]
     df = spark.createDataFrame([("p", *f) for f in files], "project_id string, path string, size long, attack_score double")
