@@ -338,6 +338,16 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert mixing.mix_documents(df).count() == sum(p[4] for p in plans[0].values())
 
 
+def test_mixing_spreads_a_unit_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 4)
+    rows = [(1, "a b c", "s", i) for i in range(101)] + [(i, f"w{i} x", "t", 1000 + i) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, row long").repartition(3)
+    takes = sum(r.takes for r in mixing.plan_mix(df).collect() if r.n == 101)
+    times = collections.Counter(r.row for r in mixing.mix_documents(df).collect() if r.doc_id == 1)
+    assert sum(times.values()) == takes > 0
+    assert {times[i] for i in range(101)} <= {takes // 101, -(-takes // 101)}
+
+
 def test_mixing_edges(spark, edge, empty):
     plan = mixing.plan_mix(edge).collect()
     assert sum(p.n for p in plan) == len(EDGE)
