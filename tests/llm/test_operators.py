@@ -482,3 +482,39 @@ def test_fuzzy_passage(spark, edge, empty):
     pairs = {(x.doc_id, x.partner_id) for x in substring_dedup.find_passages(edge).collect()}
     assert (7, 6) in pairs and not any(a == b for a, b in pairs)
     assert substring_dedup.find_passages(empty).count() == 0
+
+
+def passages(spark, rows):
+    """(doc_id, partner_id, start_word, end_word, partner_start, partner_end, matched) of (doc_id, words)."""
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return sorted(tuple(x) for x in substring_dedup.find_passages(df).collect())
+
+
+def random_words(r, n):
+    return [f"w{i}" for i in r.integers(0, 1 << 40, n)]
+
+
+def test_passage_covered_piecewise_by_earlier_documents(spark):
+    r = np.random.default_rng(21)
+    rows, want, d = [], set(), 1
+    for _ in range(40):
+        notice = random_words(r, 75)
+        for a in (0, 25, 50):
+            rows.append((d, random_words(r, 60) + notice[a:a + 25] + random_words(r, 60)))
+            d += 1
+        rows += [(d, random_words(r, 70) + notice + random_words(r, 50)), (d + 1, random_words(r, 30) + notice + random_words(r, 90))]
+        want.add((d + 1, d, 30, 105, 70, 145, 75))
+        d += 2
+    assert want <= set(passages(spark, rows))
+
+
+def test_excerpts_of_one_source(spark):
+    r = np.random.default_rng(22)
+    source, rows, place = random_words(r, 600), [], {}
+    for d in range(200):
+        n = int(r.integers(55, 80))
+        place[d] = int(r.integers(0, len(source) - n)), n
+        rows.append((d, random_words(r, 40) + source[place[d][0]: sum(place[d])] + random_words(r, 40)))
+    both = lambda a, b: min(sum(place[a]), sum(place[b])) - max(place[a][0], place[b][0])
+    want = {d for d in place if any(both(d, e) >= 51 for e in range(d))}
+    assert want <= {x[0] for x in passages(spark, rows)}
