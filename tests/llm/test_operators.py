@@ -518,3 +518,26 @@ def test_excerpts_of_one_source(spark):
     both = lambda a, b: min(sum(place[a]), sum(place[b])) - max(place[a][0], place[b][0])
     want = {d for d in place if any(both(d, e) >= 51 for e in range(d))}
     assert want <= {x[0] for x in passages(spark, rows)}
+
+
+def test_passages_of_repeated_lines(spark):
+    r = np.random.default_rng(23)
+    for line, times in ((["word"], 20_000), (random_words(r, 10), 300), (random_words(r, 20), 100)):
+        n = len(line) * times
+        got = passages(spark, [(1, line * times), (2, line * times)])
+        assert (2, 1, 0, n, 0, n, n) in got and len(got) < 5
+
+
+def test_passage_standing_twice(spark):
+    r = np.random.default_rng(24)
+    p = random_words(r, 75)
+    got = passages(spark, [(1, random_words(r, 50) + p + random_words(r, 50)), (2, p + random_words(r, 90) + p + random_words(r, 20)), (3, random_words(r, 60) + p + random_words(r, 60) + p)])
+    assert {x[:6] for x in got} == {(2, 1, 0, 75, 50, 125), (2, 1, 165, 240, 50, 125), (3, 1, 60, 135, 50, 125), (3, 1, 195, 270, 50, 125), (3, 2, 195, 270, 165, 240)}
+
+
+def test_passage_goes_on_past_its_last_anchor(spark):
+    r = np.random.default_rng(25)
+    p = random_words(r, 1_500)
+    # Document 1 holds all from word 50 on, so document 3 meets document 2 on the first words only.
+    got = passages(spark, [(1, p[50:]), (2, p), (3, random_words(r, 40) + p)])
+    assert (3, 2, 40, 1540, 0, 1500, 1500) in got and (3, 1, 90, 1540, 0, 1450, 1450) in got
