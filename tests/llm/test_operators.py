@@ -541,3 +541,21 @@ def test_passage_goes_on_past_its_last_anchor(spark):
     # Document 1 holds all from word 50 on, so document 3 meets document 2 on the first words only.
     got = passages(spark, [(1, p[50:]), (2, p), (3, random_words(r, 40) + p)])
     assert (3, 2, 40, 1540, 0, 1500, 1500) in got and (3, 1, 90, 1540, 0, 1450, 1450) in got
+
+
+def test_exact_passages_beside_other_shared_phrases(spark):
+    rows, want = [], set()
+    for t in range(60):
+        r = np.random.default_rng(100 + t)
+        a, b, start = random_words(r, 51), random_words(r, 51), 20 + t % 7
+        rows += [(10 * t, random_words(r, start) + a + b + random_words(r, 30)), (10 * t + 1, random_words(r, 33) + a + random_words(r, 26) + b + random_words(r, 11))]
+        want |= {(10 * t + 1, 10 * t, 33, 84, start, start + 51, 51), (10 * t + 1, 10 * t, 110, 161, start + 51, start + 102, 51)}
+        # A form: one paragraph, then labels with other values.
+        labels = [random_words(r, 14) for _ in range(3)]
+        for i in (2, 3):
+            rows.append((10 * t + i, random_words(r, 25) + a[::-1] + b[:9] + [w for x in labels for w in random_words(r, 12) + x] + random_words(r, 40)))
+    got = passages(spark, rows)
+    assert want <= set(got)
+    # With the first label the paragraph is still a passage of 74 in 86 words.
+    assert {x[0] for x in got if x[0] == x[1] + 1 and x[2] == 25 and x[3] in (85, 111)} >= {10 * t + 3 for t in range(60)}
+    assert all(x[6] >= 0.8 * max(x[3] - x[2], x[5] - x[4]) and x[3] - x[2] >= 40 for x in got)
