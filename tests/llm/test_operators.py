@@ -559,3 +559,16 @@ def test_exact_passages_beside_other_shared_phrases(spark):
     # With the first label the paragraph is still a passage of 74 in 86 words.
     assert {x[0] for x in got if x[0] == x[1] + 1 and x[2] == 25 and x[3] in (85, 111)} >= {10 * t + 3 for t in range(60)}
     assert all(x[6] >= 0.8 * max(x[3] - x[2], x[5] - x[4]) and x[3] - x[2] >= 40 for x in got)
+
+
+def test_fuzzy_passages_down_to_the_least_match(spark):
+    r, rows, n = np.random.default_rng(26), [], 60
+    for step in (20, 10, 8, 6):
+        for _ in range(n):
+            p = random_words(r, 60)
+            q = [random_words(r, 1)[0] if i % step == 3 else w for i, w in enumerate(p)]
+            rows += [random_words(r, 50) + p + random_words(r, 50), random_words(r, 40) + q + random_words(r, 60)]
+    rows = list(enumerate(rows))
+    got = {x[0] for x in passages(spark, rows)}
+    for k in range(4):
+        assert len(got & set(range(2 * n * k, 2 * n * (k + 1)))) >= 0.9 * n
