@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.operators.nearest import topk_in_group
-from codesift.session import cut_lineage
+from codesift.session import collect_bounded, cut_lineage
 
 N_CLUSTERS = 10
 SAMPLE = 7
@@ -57,7 +63,58 @@ def agg_centroid(assigned: DataFrame) -> DataFrame:
 
 
 def kmeans_step(embeddings: DataFrame, centroids: DataFrame) -> DataFrame:
-    return agg_centroid(join_cluster_assign(embeddings, kmeans_assign(embeddings, centroids)))
+    """One round: (cluster_id, vector, size) of the means of the vectors nearest to each centroid.  A task assigns its
+    vectors and hands on one sum per centroid and component; vectors are not shuffled.  Only centroids too many to be
+    held by every task take the way through :func:`kmeans_assign`."""
+    held = collect_bounded(centroids.select("cluster_id", "vector"), 8 * 1024)
+    if held is None:
+        return agg_centroid(join_cluster_assign(embeddings, kmeans_assign(embeddings, centroids)))
+    sums = embeddings.select("embedding").mapInArrow(_sums(held), "cluster_id int, pos int, value double, n long")
+    total = sums.groupBy("cluster_id", "pos").agg(F.sum("value").alias("value"), F.sum("n").alias("size"))
+    mean = F.sort_array(F.collect_list(F.struct("pos", (F.col("value") / F.col("size")).alias("value"))))
+    return total.groupBy("cluster_id", "size").agg(F.transform(mean, lambda x: x["value"]).alias("vector")).select("cluster_id", "vector", "size")
+
+
+def _sums(centroids: pd.DataFrame) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of a task's vectors per nearest centroid; a vector without a centroid of its length is left out."""
+    ordered = centroids.sort_values("cluster_id")
+    vectors = [np.asarray(v, np.float64) for v in ordered["vector"]]
+    by_length = {n: [i for i, v in enumerate(vectors) if len(v) == n] for n in {len(v) for v in vectors}}
+    ids = ordered["cluster_id"].tolist()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(len(v)) for v in vectors]
+        count = [0] * len(vectors)
+        for b in batches:
+            column = b.column(0)
+            lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy()
+            for n, own in by_length.items():
+                rows = column.filter(pa.array(lengths == n))
+                if not len(rows) or not n:
+                    continue
+                x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+                far = np.stack([((x - vectors[i]) ** 2).sum(axis=1) for i in own])
+                near = far.argmin(axis=0)  # ties go to the smaller id
+                for k, i in enumerate(own):
+                    mine = x[near == k]
+                    total[i] += mine.sum(axis=0)
+                    count[i] += len(mine)
+        for i, v in enumerate(total):
+            if count[i]:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(v), pa.int32()), pa.array(range(len(v)), pa.int32()), pa.array(v),
+                                                  pa.array([count[i]] * len(v), pa.int64())], ["cluster_id", "pos", "value", "n"])
+
+    return add
+
+
+def fit_from(embeddings: DataFrame, starts: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """``rounds`` rounds from given centroids (cluster_id, vector): (assignments, centroids).  A centroid without vectors
+    stays where it is."""
+    centroids = cut_lineage(starts.select("cluster_id", "vector"))
+    for _ in range(rounds):
+        moved = kmeans_step(embeddings, centroids).select("cluster_id", F.col("vector").alias("new"))
+        centroids = cut_lineage(centroids.join(moved, "cluster_id", "left").select("cluster_id", F.coalesce("new", "vector").alias("vector")))
+    return kmeans_assign(embeddings, centroids), centroids
 
 
 def join_cluster_assign(docs: DataFrame, assigned: DataFrame) -> DataFrame:

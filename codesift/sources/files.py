@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions.features import is_binary
-from codesift.operators.features import SKIP_PATTERNS, featurize_files, skips_in_tree
+from codesift.operators.features import SKIP_PATTERNS, featurize_files, skips, skips_in_tree
+from codesift.sources import archives
 
 EMBEDDING_SCHEMA = "docIndex bigint, embedding array<float>, category string"
 
@@ -83,15 +84,31 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(rows, columns=["project_id", "path", "content"])
 
 
+def _unzipped(spark: SparkSession, glob: str) -> DataFrame:
+    """(archive, path, content, reason) of all entries that are audited, and of archives that cannot be listed."""
+    entries = archives.list_entries(spark, glob)
+    return archives.read_entries(entries.filter(F.col("path").isNull() | ~skips(F.col("path"))))
+
+
 def read_zips(spark: SparkSession, glob: str, project_id: str | None = None) -> DataFrame:
-    """Text files inside zip archives; the archive's name is the project."""
-    raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(glob)
-    name = F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.zip$", "")
-    blobs = raw.select((F.lit(project_id) if project_id else name).alias("project_id"), "content")
-    text = blobs.mapInPandas(_entries, "project_id string, path string, content string")
+    """Text files inside zip archives; the archive's name is the project.  One archive is unpacked by many tasks, by
+    ranges of its bytes; where its store gives tasks no ranges, it is one row, unpacked in portions."""
+    name = lambda path: F.regexp_replace(F.substring_index(path, "/", -1), r"(?i)\.zip$", "")
+    if archives.ranged(glob):
+        text = _unzipped(spark, glob).filter(F.col("reason").isNull())
+        text = text.select((F.lit(project_id) if project_id else name("archive")).alias("project_id"), "path", "content")
+    else:
+        raw = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).load(glob)
+        blobs = raw.select((F.lit(project_id) if project_id else name("path")).alias("project_id"), "content")
+        text = blobs.mapInPandas(_entries, "project_id string, path string, content string")
     return featurize_files(text.filter(~is_binary(F.col("content"))))
 
 
+def zip_rejects(spark: SparkSession, glob: str) -> DataFrame:
+    """(archive, path, reason) of archives that cannot be listed and of entries that cannot be unpacked."""
+    return _unzipped(spark, glob).filter(F.col("reason").isNotNull()).select("archive", "path", "reason")
+
+
 def read_sources(spark: SparkSession, path: str, project_id: str = "project") -> DataFrame:
     """A zip archive or a folder, by its name, highest attack score first."""
     try:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codesift.functions import reports as rfx
@@ -44,7 +44,11 @@ def _vector_centroid(s, d) -> DataFrame:
 
 
 def _kmeans_fit(s, d) -> DataFrame:
-    assigned, _ = clusters.fit_clusters(_embeddings(s, d))
+    """Sizes of the clusters after five rounds from the vectors of the ten smallest ids."""
+    vectors = _embeddings(s, d)
+    starts = vectors.orderBy("vec_id").limit(clusters.N_CLUSTERS).select(
+        (F.row_number().over(Window.orderBy("vec_id")) - 1).alias("cluster_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    assigned, _ = clusters.fit_from(vectors, starts, 5)
     return clusters.agg_cluster_size(assigned)
 
 
@@ -397,4 +401,6 @@ INGEST = {
     "scan_stream": _scan_stream,
 }
 
-ALL = FEATURES | SCAN | REPORTS | JOINS | FINDINGS | RESPONSES | PACKING | VECTORS | INGEST
+from codesift.workloads.storage import STORAGE  # noqa: E402
+
+ALL = FEATURES | SCAN | REPORTS | JOINS | FINDINGS | RESPONSES | PACKING | VECTORS | INGEST | STORAGE

@@ -196,7 +196,7 @@ seen as (select f.project_id, f.path from files f where doc_id in (select doc_id
 FIRST = "(select project_id, path as first from feats qualify row_number() over (partition by project_id order by attack_score desc, path) = 1)"
 
 
-def _skip() -> str:
+def _skip(tree: bool = True) -> str:
     from codesift.operators.features import SKIP_DIRS, SKIP_DIRS_ANY_CASE, SKIP_NAMES, SKIP_SUFFIXES_ANY_CASE
 
     def hit(x: str) -> str:
@@ -204,6 +204,8 @@ def _skip() -> str:
             _rxm(x, rf"(^|/)({SKIP_DIRS})/"), _rxm(x, rf"(?i)(^|/)({SKIP_DIRS_ANY_CASE})/"), _rxm(x, "__pycache__/"),
             _rxm(x, rf"({SKIP_NAMES})$"), _rxm(x, rf"(?i)({SKIP_SUFFIXES_ANY_CASE})$")]) + ")"
 
+    if not tree:  # entries of an archive: the whole path only
+        return hit("path")
     # Walk the tree: at each level both the relative path and the bare name are tested.
     return (f"with {FILES}, w as (select project_id, path, string_split(path, '/') as p from files) select project_id, path from w "
             f"where len(list_filter(range(1, len(p) + 1), lambda i: {hit(chr(97) + 'rray_to_string(p[1:i], chr(47))')} or {hit('p[i]')})) = 0")
@@ -265,7 +267,7 @@ def _all_leads() -> str:
 
     part = o.leads_cte(list(o.RULES))
     moved = o.DISPLACED.split(",\nln as", 1)[1].replace("leads as", "leads_b as").replace("ln.", "ln_b.").replace(" ln ", " ln_b ").replace("from ln\n", "from ln_b\n")
-    loops = o.LOOPS.split(",\nln as", 1)[1].replace("leads as", "leads_c as").replace(" ln ", " ln_c ")
+    loops = o.LOOPS.split(",\nln as", 1)[1].replace("leads as", "leads_c as").replace("from ln)", "from ln_c)")
     cols = LEAD_COLS
     return (f"{part},\nln_b as{moved},\nln_c as{loops.replace('anchors', 'anchors_c')},\n"
             f"every as (select {cols} from leads union all select {cols} from leads_b union all select {cols} from leads_c)")
@@ -353,17 +355,17 @@ fnd as (select l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_li
 
 FND = _found_sql()
 TOK = f"""{FND},
-tok as (select *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda t: t <> ''))) as tokens from fnd)"""
+tok as materialized (select *, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda t: t <> ''))) as tokens from fnd)"""
 JAC = "len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) >= 0.5"
 KEYED = f"""recursive {TOK},
-pairs as (select a.finding_id as a, b.finding_id as b from tok a join tok b on a.project_id = b.project_id and a.file = b.file and a.finding_id <> b.finding_id
+pairs as materialized (select a.finding_id as a, b.finding_id as b from tok a join tok b on a.project_id = b.project_id and a.file = b.file and a.finding_id <> b.finding_id
   where ({JAC}) or (a.category = b.category and abs(a.line - b.line) <= 5)),
 reach(id, root) as (select finding_id, finding_id from fnd union select p.b, r.root from reach r join pairs p on p.a = r.id),
-keyed as (select f.*, k.merge_key from fnd f join (select id, min(root) as merge_key from reach group by id) k on k.id = f.finding_id)"""
+keyed as materialized (select f.*, k.merge_key from fnd f join (select id, min(root) as merge_key from reach group by id) k on k.id = f.finding_id)"""
 SEV = "case severity when 'Critical' then 0 when 'High' then 1 when 'Medium' then 2 when 'Low' then 3 else 4 end"
 MERGED = f"""{KEYED},
 lead as (select * from keyed qualify row_number() over (partition by merge_key order by {SEV}, finding_id) = 1),
-merged as (select l.project_id, l.file, l.merge_key, l.severity, l.title, l.line, l.category, a.auditors, a.n_findings,
+merged as materialized (select l.project_id, l.file, l.merge_key, l.severity, l.title, l.line, l.category, a.auditors, a.n_findings,
    least(1.0, round(0.6 + 0.2 * (a.n_auditors - 1), 6))::double as confidence
  from lead l join (select merge_key, string_agg(distinct auditor_id, ',' order by auditor_id) as auditors, count(*) as n_findings,
    count(distinct auditor_id) as n_auditors from keyed group by merge_key) a using (merge_key))"""
@@ -524,8 +526,43 @@ def ingest_sql() -> dict[str, str]:
     }
 
 
+def _fit_sql() -> str:
+    """Five rounds, one after another, from the vectors of the ten smallest ids."""
+    near = ("a{r} as materialized (select vec_id, v, cluster_id from (select vec_id, v, c.cluster_id, list_distance(v, vector) as d from e, c{r} c) "
+            "qualify row_number() over (partition by vec_id order by d, cluster_id) = 1)")
+    move = ("c{n} as materialized (select c.cluster_id, coalesce(m.vector, c.vector) as vector from c{r} c left join (select cluster_id, list(x order by p) as vector from "
+            "(select cluster_id, p, avg(x) as x from (select cluster_id, unnest(v) as x, generate_subscripts(v, 1) as p from a{r}) group by all) group by all) m using (cluster_id))")
+    steps = ["e as materialized (select vec_id, embedding::double[] as v from embeddings)",
+             "c0 as materialized (select row_number() over (order by vec_id) - 1 as cluster_id, v as vector from e order by vec_id limit 10)"]
+    for r in range(5):
+        steps += [near.format(r=r), move.format(r=r, n=r + 1)]
+    return f"with {', '.join([*steps, near.format(r=5)])} select cast(cluster_id as int) as cluster_id, count(*) as size from a5 group by all"
+
+
+def storage_sql() -> dict[str, str]:
+    base = features_sql()["build_source_file"]
+    kept = f"with b as ({base}), k as ({_skip()}) select b.* from b join k using (project_id, path)"
+    zipped = f"with b as ({base}) select * from b where not {_skip(tree=False)}"
+    audit = findings_sql()["render_report"]
+    return {
+        "src_tree_scan": kept,
+        "src_zip_scan": zipped,
+        "src_unified": f"select * replace ('all' as project_id) from ({zipped})",
+        "src_report_scan": f"with {REPORTS} select firm, filename, rel_path, md5(content) as content_md5 from reports",
+        "src_embeddings_jsonl": f"with {STORE} select vec_id, category, cast(generate_subscripts(embedding, 1) - 1 as int) as pos, unnest(embedding) as value from store",
+        "sink_vector_table": f"with {STORE} select vec_id, cluster_id, category, cast(len(embedding) as int) as dim, md5(page_content) as text_md5 from store",
+        "src_vector_table": f"with {STORE}, n as (select label, count(*) as n from embeddings group by all) select vec_id, cluster_id from store "
+                            "where cluster_id in (select label from n where n > (select avg(n) from n))",
+        "sink_centroids": f"select cluster_id, 'label-' || cluster_id as label, size, pos, value from ({vector_sql()['agg_centroid']})",
+        "sink_leads": scan_sql()["lead_rank"],
+        "sink_report": f"""with r as ({audit}), l as (select project_id, unnest(string_split(text, chr(10))) as line from r)
+            select project_id, count(*) as n_lines, cast(sum(length(line)) as bigint) as n_chars, cast(sum(cast('0x' || md5(line)[1:8] as bigint)) as bigint) as checksum
+            from l group by project_id""",
+    }
+
+
 def all_sql() -> dict[str, str]:
-    return (features_sql() | scan_sql() | report_sql() | joins_sql() | findings_sql() | responses_sql() | packing_sql()
+    return storage_sql() | {"kmeans_fit": _fit_sql()} | (features_sql() | scan_sql() | report_sql() | joins_sql() | findings_sql() | responses_sql() | packing_sql()
             | vector_sql() | ingest_sql() | batches_sql())
 
 
