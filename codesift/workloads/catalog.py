@@ -248,6 +248,11 @@ def _merged(s, d) -> DataFrame:
     return merge.merge_findings(_f(s, d))
 
 
+def _merged_few(s, d) -> DataFrame:
+    """Merged findings of one kind, so that some projects have none."""
+    return merge.merge_findings(_f(s, d).filter("file = 'src/F7.sol' and severity = 'Critical' and category = 'dos'"))
+
+
 def _flat(df: DataFrame) -> DataFrame:
     return df.withColumn("auditors", F.array_join("auditors", ","))
 
@@ -275,7 +280,7 @@ FINDINGS = {
     "agg_weighted_confidence": _weighted,
     "agg_severity_counts": lambda s, d: merge.agg_severity_counts(_f(s, d)),
     "sort_report": lambda s, d: _flat(merge.sort_report(_merged(s, d))).select("project_id", "severity", "confidence", "file", "merge_key"),
-    "fallback_findings": lambda s, d: _flat(merge.fallback_findings(_f(s, d))).select("project_id", "finding_id", "confidence", "auditors"),
+    "fallback_findings": lambda s, d: _flat(merge.fallback_findings(_f(s, d), _merged_few(s, d))).select("project_id", "finding_id", "confidence", "auditors"),
     "eval_coverage": lambda s, d: merge.eval_coverage(_truth(s, d), _f(s, d), ["auditor-2", "auditor-3"]).withColumnsRenamed(
         {"auditor-2": "auditor_2", "auditor-3": "auditor_3"}),
     "render_report": lambda s, d: render.report_in_order(render.report_rows(
@@ -383,13 +388,13 @@ def _scan_stream(s, d) -> DataFrame:
     out = work_dir(s)
     schema = corpus.table(s, d, "documents").schema
     raw = s.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    ingest.scan_stream(features.featurize_files(corpus.files_of(raw)), f"{out}/leads", f"{out}/checkpoint").awaitTermination()
-    return s.read.parquet(f"{out}/leads").groupBy("project_id", "pattern_id").agg(F.count(F.lit(1)).alias("n"))
+    ingest.scan_stream(features.featurize_files(corpus.files_of(raw)), out, f"{out}/checkpoint").awaitTermination()
+    return ingest.read_leads(s, out).withColumnRenamed("line", "line_no").select(*LEAD)
 
 
 def _check(s, d) -> DataFrame:
     docs = corpus.table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"))
-    vecs = corpus.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit("model-a").alias("model"))
+    vecs = corpus.table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.concat(F.lit("model-"), F.col("label") % 3).alias("model"))
     return ingest.check_embeddings(docs, vecs)
 
 
