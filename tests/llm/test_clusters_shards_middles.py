@@ -240,3 +240,22 @@ def test_tokens_equal_pattern():
     for i, t in enumerate(texts):
         want = np.cumsum([len(w.encode()) for w in TOKEN.findall(t or "")]) + offs[i]
         assert ends[before[i]: before[i + 1]].tolist() == want.tolist()
+
+
+# ---- 10 common seeds take another way to the same anchors
+
+def test_common_seeds_give_the_same_passages(spark, monkeypatch):
+    from codesift.llm import substring_dedup
+
+    r = np.random.default_rng(3)
+    word = lambda n: [f"w{i}" for i in r.integers(0, 5000, n)]
+    notice, other = word(60), word(80)
+    rows = [(i, " ".join(word(30) + (notice if i % 2 else []) + word(20) + (other if i % 5 == 0 else []) + word(10) + (notice if i % 7 == 0 else []))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = []
+    for least in (10**9, 3):
+        monkeypatch.setattr(substring_dedup, "HOT_LEAST", least)
+        hot = substring_dedup.common_seeds(df)
+        assert bool(hot) == (least == 3)
+        found.append(sorted(tuple(x) for x in substring_dedup.anchors_of(df).collect()))
+    assert found[0] == found[1] and len(found[0]) > 500
