@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codesift.functions.text import trimmed
 from codesift.operators.merge import SEVERITIES
@@ -37,40 +33,50 @@ def notes_part(text: Column) -> Column:
     return trimmed(F.when(at > 0, F.substring(text, at + len(NOTES_MARK), F.length(text))).otherwise(F.lit("")))
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
+def _masked(text: Column) -> Column:
+    """``text`` with everything inside of strings blanked, each character by one.  Whether a quote opens or closes is told
+    from the end, since what stands before the JSON may hold any number of quotes."""
+    parts = F.reverse(F.split(F.regexp_replace(text, r'\\["\\]', "__"), '"', -1))
+    outside = F.transform(parts, lambda x, i: F.when(i % 2 == 0, x).otherwise(F.repeat(F.lit("_"), F.length(x))))
+    return F.array_join(F.reverse(outside), '"')
+
+
+def _opening(masked: Column) -> Column:
+    """How many brackets from the end the one stands that the last bracket closes; 0 if there is none."""
+    brackets = F.reverse(F.filter(F.split(F.regexp_replace(masked, r"[^\[\]{}]", ""), "", -1), lambda x: x != ""))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("hit"))
 
+    def step(s: Column, x: Column) -> Column:
+        depth = s["depth"] + F.when(x.isin("]", "}"), 1).otherwise(-1)
+        seen = s["seen"] + 1
+        return F.when(s["hit"] > 0, s).otherwise(F.struct(depth.alias("depth"), seen.alias("seen"), F.when(depth == 0, seen).otherwise(0).alias("hit")))
 
-def _tail_json(text: str | None) -> str | None:
-    """The shortest suffix that starts with "[" and is JSON; else with "{"."""
-    if text is None:
-        return None
-    for mark in "[{":
-        at = text.rfind(mark)
-        while at >= 0:
-            try:
-                json.loads(text[at:], parse_constant=_no_constant)
-                return text[at:]
-            except (ValueError, RecursionError):
-                at = text.rfind(mark, 0, at)
-    return None
+    return F.aggregate(brackets, start, step, lambda s: s["hit"])
 
 
-@F.pandas_udf(T.StringType())
-def _tails(s: pd.Series) -> pd.Series:
-    return s.map(_tail_json)
+def _exact(text: Column) -> Column:
+    """``text`` parsed if it is one JSON value and nothing more; the parser alone stops behind the first value.  What may
+    follow a value in a list may not follow it in an object."""
+    in_list, in_object = F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"a":'), text, F.lit("}"))
+    return F.when(F.try_parse_json(in_list).isNotNull() & F.try_parse_json(in_object).isNotNull(), F.try_parse_json(text))
 
 
 def with_json(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: the JSON in column ``text`` as a string, NULL when there is
-    none.  Whole text first, then a fenced block, both in the JVM; only texts
-    where both fail are searched from the right."""
-    t = trimmed(F.col(text))
-    fence = trimmed(F.regexp_extract(t, FENCE, 1))
-    easy = F.when(F.try_parse_json(t).isNotNull(), t).when(F.try_parse_json(fence).isNotNull(), fence)
-    staged = df.withColumn("_easy", easy)
-    hard = F.when(F.col("_easy").isNull() & (t != ""), t)
-    return staged.withColumn("_tail", _tails(hard)).withColumn(out, F.coalesce("_easy", "_tail")).drop("_easy", "_tail")
+    """Add ``out``: the JSON in column ``text`` as a string, NULL when there is none, and ``out``_v, the same parsed.
+
+    Whole text first, then a fenced block, then the list or object that ends the text.  A list that ends a text begins at
+    the bracket that the last one closes, so one pass from the end finds the only candidate.
+    """
+    c = F.col
+    staged = df.withColumn("_t", trimmed(c(text))).withColumn("_whole", _exact(c("_t")))
+    staged = staged.withColumn("_fence", F.when(c("_whole").isNull(), trimmed(F.regexp_extract("_t", FENCE, 1)))).withColumn("_fenced", _exact(c("_fence")))
+    hard = c("_whole").isNull() & c("_fenced").isNull() & (F.endswith("_t", F.lit("]")) | F.endswith("_t", F.lit("}")))
+    staged = staged.withColumn("_masked", F.when(hard, _masked(c("_t")))).withColumn("_hit", F.when(c("_masked").isNotNull(), _opening(c("_masked"))))
+    pieces = F.slice(F.reverse(F.split("_masked", r"[\[\]{}]", -1)), 1, c("_hit"))
+    length = F.aggregate(pieces, c("_hit"), lambda a, x: a + F.length(x))
+    staged = staged.withColumn("_tail", F.when(c("_hit") > 0, F.right("_t", length))).withColumn("_tailed", F.try_parse_json("_tail"))
+    found = F.when(c("_whole").isNotNull(), c("_t")).when(c("_fenced").isNotNull(), c("_fence")).when(c("_tailed").isNotNull(), c("_tail"))
+    return staged.select(*df.columns, found.alias(out), F.coalesce("_whole", "_fenced", "_tailed").alias(f"{out}_v"))
 
 
 def _typed(item: Column, field: str, kind: str) -> Column:
@@ -84,7 +90,7 @@ def _typed(item: Column, field: str, kind: str) -> Column:
 
 def _items(df: DataFrame, column: str, keys: list[str], paths: list[str]) -> DataFrame:
     """Explode the array found at the first of ``paths``; items keep their place."""
-    v = F.try_parse_json(F.col(column))
+    v = F.col(f"{column}_v") if f"{column}_v" in df.columns else F.try_parse_json(F.col(column))
     arr = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in paths])
     return df.select(*keys, F.posexplode(arr).alias("ord", "item"))
 

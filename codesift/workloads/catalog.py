@@ -297,14 +297,14 @@ def _parsed(s, d, i: int) -> DataFrame:
 def _json(s, d) -> DataFrame:
     r = corpus.responses(s, d)
     body = responses.findings_part(responses.strip_think(F.col("raw")))
-    return responses.with_json(r.select("resp_id", body.alias("body")), "body", "found").select("resp_id", "found")
+    return responses.with_json(r.select("resp_id", body.alias("body")), "body", "found").select("resp_id", "found", "found_v")
 
 
 RESPONSES = {
     "strip_think": lambda s, d: corpus.responses(s, d).select("resp_id", responses.strip_think(F.col("raw")).alias("text")),
     "split_suspicions": lambda s, d: corpus.responses(s, d).withColumn("t", responses.strip_think(F.col("raw"))).select(
         "resp_id", responses.findings_part(F.col("t")).alias("body"), responses.notes_part(F.col("t")).alias("tail")),
-    "extract_json": _json,
+    "extract_json": lambda s, d: _json(s, d).drop("found_v"),
     "explode_responses": lambda s, d: responses._items(_json(s, d), "found", ["resp_id"], ["$", "$.findings"]).select(
         "resp_id", "ord", F.try_variant_get("item", "$.title", "string").alias("title")),
     "parse_findings": lambda s, d: _parsed(s, d, 0),

@@ -1,6 +1,7 @@
 """Operators against brute force on small fixtures, and edge cases."""
 
 import itertools
+import json
 import random
 
 import numpy as np
@@ -403,3 +404,40 @@ def test_fallback_is_for_projects_without_merged_findings(spark):
     assert {r["project_id"] for r in merge.fallback_findings(raw, merged).collect()} == {"p1"}
     assert merge.fallback_findings(raw, merged).count() == 25 and merge.fallback_findings(raw).count() == 50
     assert [r["finding_id"] for r in merge.fallback_findings(raw, merged, 2).orderBy("finding_id").collect()] == ["f01", "f03"]
+
+
+def _suffix_json(text):
+    """By trial: the shortest suffix that starts with a bracket and is JSON; lists before objects."""
+    def no_constant(name):
+        raise ValueError(name)
+
+    for mark in "[{":
+        at = text.rfind(mark)
+        while at >= 0:
+            try:
+                json.loads(text[at:], parse_constant=no_constant)
+                return text[at:]
+            except ValueError:
+                at = text.rfind(mark, 0, at)
+    return None
+
+
+def test_json_at_the_end_of_a_text(spark):
+    tails = ['[1, 2]', '{"a": [1, {"b": "}"}]}', '[{"x": "a ] b [ \\" c"}]', '["\\\\"]', '["\\\\\\" ]"]', '[]', '{}', '[{"t": "its"}]', '[[1], [2, [3]]]', '{"k": "é 日"}',
+             '["a", ]', '[1, 2', '{"a" 1}', '[NaN]', ']', '}', '[}', '{"a": "b]', '["open]', '[1] x', '"[1]"', '[1]]', '["' + 'y\\"' * 3000 + '"]', '[' * 400 + ']' * 400]
+    heads = ["", "text ", 'He said "so ', 'a "quoted" word ', "see \\[", 'odd " and [ and { ', "[1] and ", "x\\\\ ", "[[", '{"a": ']
+    texts = [h + t for h in heads for t in tails] + ['12 apples', '1, "b": 2', '1] [2', 'null', '12', '"x"', '1} {', 'true story', '', ' ', '{"a": 1} {"b": 2}']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    found = responses.with_json(df, "text", "found")
+    got = {r["i"]: r["found"] for r in found.select("i", "found").collect()}
+
+    def whole(t):
+        try:
+            json.loads(t, parse_constant=lambda x: 1 / 0)
+            return t.strip()
+        except (ValueError, ZeroDivisionError):
+            return _suffix_json(t)
+
+    assert got == {i: whole(t.strip()) for i, t in enumerate(texts)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
