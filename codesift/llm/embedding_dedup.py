@@ -10,7 +10,7 @@
    cell in one task, as a matrix product in double precision.  Only counts of links and a spanning set of them leave the
    task, never all pairs.  Components of the spanning links give the groups.
 
-Cases: null label, null or empty vector, null or non-finite component, zero vector: linked with nothing, kept; vectors of
+Cases: a label may be a number of any size or a text; null label, null or empty vector, null or non-finite component, zero vector: linked with nothing, kept; vectors of
 different widths never link; repeated rows are links of each other; rows of one vec_id with different vectors share their
 links; a null vec_id takes part in no link; an empty table gives no rows; other columns are not read.
 """
@@ -39,7 +39,7 @@ MAX_CELLS = 1024
 ROUNDS = 8
 SEED = 7
 
-CELLS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("label", T.LongType()), T.StructField("v", T.BinaryType()),
+CELLS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("label", T.StringType()), T.StructField("v", T.BinaryType()),
                       T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())])
 FOUND = T.StructType([T.StructField("node", T.LongType()), T.StructField("n_links", T.LongType()), T.StructField("root", T.LongType())])
 
@@ -63,7 +63,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = SE
     return c
 
 
-def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
+def fit_cells(nodes: DataFrame) -> dict[str, np.ndarray]:
     """Centroids by label, for labels with more than ``CELL_ROWS`` nodes.  Only the bounded sample reaches the driver."""
     counts = {r[0]: r[1] for r in nodes.groupBy("label").count().filter(F.col("count") > CELL_ROWS).orderBy(F.desc("count")).limit(10_000).collect()}
     if not counts:
@@ -71,25 +71,26 @@ def fit_cells(nodes: DataFrame) -> dict[int, np.ndarray]:
     share = {k: min(1.0, FIT_ROWS / n) for k, n in counts.items()}
     budget = sum(min(FIT_ROWS, n) for n in counts.values()) * nodes.agg(F.max(F.octet_length("v"))).first()[0]
     scale = min(1.0, FIT_BYTES / budget)
-    rates = F.create_map(*[F.lit(x) for k, r in share.items() for x in (k, r * scale)])
-    drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1_000_000)) < F.element_at(rates, F.col("label")) * 1_000_000
-    sample = nodes.filter(drawn).select("label", "node", "v").toPandas().sort_values(["label", "node"])
+    # At most 10,000 rows, the labels counted above.
+    rates = nodes.sparkSession.createDataFrame([(k, r * scale) for k, r in share.items()], "label string, rate double")
+    drawn = F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1_000_000)) < F.col("rate") * 1_000_000
+    sample = nodes.join(F.broadcast(rates), "label").filter(drawn).select("label", "node", "v").toPandas().sort_values(["label", "node"])
     out = {}
     for label, rows in sample.groupby("label"):
         x = unit(np.stack([np.frombuffer(v, np.float64) for v in rows["v"]]))
         k = min(MAX_CELLS, -(-counts[label] // (CELL_ROWS // 2)), len(x))
         if k > 1:
-            out[int(label)] = spherical_kmeans(x, k)
+            out[label] = spherical_kmeans(x, k)
     return out
 
 
-def _assign(cells: dict[int, np.ndarray], limit: float):
+def _assign(cells: dict[str, np.ndarray], limit: float):
     reach = float(np.sqrt(max(0.0, 1 - limit * limit))) + 1e-9
     gaps = {k: np.sqrt(np.maximum(0, 2 - 2 * c @ c.T)) * reach for k, c in cells.items()}
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = b.column(2).to_numpy()
+            label = b.column(2).to_numpy(zero_copy_only=False).astype(str)
             x = [np.frombuffer(v.as_buffer(), np.float64) for v in b.column(3)]
             row, cell, home = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for k in np.unique(label).tolist():
@@ -140,14 +141,15 @@ def dedup_embeddings(vectors: DataFrame, limit: float = LIMIT) -> DataFrame:
     d = F.transform("embedding", lambda x: x.cast("double"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite, F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), d.alias("v")).withColumn("good", good)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), d.alias("v")).withColumn("good", good)
     # Width belongs to what is compared: vectors of different widths never link.
-    key = F.when(F.col("good"), F.xxhash64("label", F.size("v"), F.transform("v", lambda x: x + F.lit(0.0))))
+    named = ["label", F.size("v"), F.transform("v", lambda x: x + F.lit(0.0))]
+    key = F.when(F.col("good"), F.concat(*[F.hex(F.xxhash64(F.lit(n), *named)) for n in (1, 2)]))
     rows = cut_lineage(rows.withColumn("key", key))
     width = F.size("v").cast("long")
     nodes = rows.filter("good").groupBy("key", "label", width.alias("width")).agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"), F.min("v").alias("v"))
     # What is compared is named by label and width together.
-    packed = cut_lineage(_pack(nodes.select("key", "node", "n", (F.col("label") * 65536 + F.col("width")).alias("label"), "v")))
+    packed = cut_lineage(_pack(nodes.select("key", "node", "n", F.concat_ws(":", "label", "width").alias("label"), "v")))
     cells = fit_cells(packed)
     assigned = cut_lineage(packed.select("node", "n", "label", "v").mapInArrow(_assign(cells, limit), CELLS))
     sizes = assigned.groupBy("label", "cell").agg(F.count_if("home").alias("n_home"), F.count(F.lit(1)).alias("n_all"))
@@ -175,7 +177,7 @@ def _pack(nodes: DataFrame) -> DataFrame:
             v = pa.array([x.values.to_numpy(zero_copy_only=False).astype("<f8").tobytes() for x in b.column(4)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:4], v], ["key", "node", "n", "label", "v"])
 
-    return nodes.mapInArrow(pack, "key long, node long, n long, label long, v binary")
+    return nodes.mapInArrow(pack, "key string, node long, n long, label string, v binary")
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

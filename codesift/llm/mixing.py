@@ -18,6 +18,8 @@ without words has targets 0; other columns are not read by ``plan_mix`` and come
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -168,20 +170,21 @@ def _each(total, n, k):
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mixed documents, with the input's columns; a document taken twice stands there twice."""
+    own = f"mix_{uuid.uuid4().hex}"  # no column of the input is named so
     key = F.xxhash64("doc_id", "source", "text", F.col("text").isNull(), F.col("source").isNull(), F.col("doc_id").isNull())
-    plan = cut_lineage(plan_mix(docs).filter("takes > 0").select(F.col("key").alias("_k"), F.col("n").alias("_n"), F.col("takes").alias("_takes")))
-    keyed = docs.withColumn("_key", key)
-    taken = keyed.join(plan.filter("_n = 1"), F.col("_key") == F.col("_k")).withColumn("_t", F.col("_takes"))
-    if not plan.filter("_n > 1").isEmpty():
+    plan = cut_lineage(plan_mix(docs).filter("takes > 0").select(F.col("key").alias(f"{own}_k"), F.col("n").alias(f"{own}_n"), F.col("takes").alias(f"{own}_takes")))
+    keyed = docs.withColumn(f"{own}_key", key)
+    taken = keyed.join(plan.filter(f"{own}_n = 1"), F.col(f"{own}_key") == F.col(f"{own}_k")).withColumn(f"{own}_t", F.col(f"{own}_takes"))
+    if not plan.filter(f"{own}_n > 1").isEmpty():
         # Rows of one unit are numbered by runs of the scan, so that a unit with very many rows is spread.
-        runs = keyed.withColumn("_run", F.floor(F.monotonically_increasing_id() / GROUP_ROWS))
-        more = cut_lineage(runs.join(plan.filter("_n > 1"), F.col("_key") == F.col("_k")))
-        counts = more.groupBy("_key", "_run").count()
-        before = counts.select("_key", "_run", (F.sum("count").over(Window.partitionBy("_key").orderBy("_run")) - F.col("count")).alias("_before"))
-        place = F.row_number().over(Window.partitionBy("_key", "_run").orderBy(F.lit(1)))
-        placed = more.withColumn("_r", place).join(before, ["_key", "_run"]).withColumn("_r", F.col("_r") + F.col("_before"))
-        taken = taken.unionByName(placed.withColumn("_t", _each(F.col("_takes"), F.col("_n"), F.col("_r"))).drop("_r", "_run", "_before")).filter("_t > 0")
-    return taken.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        runs = keyed.withColumn(f"{own}_run", F.floor(F.monotonically_increasing_id() / GROUP_ROWS))
+        more = cut_lineage(runs.join(plan.filter(f"{own}_n > 1"), F.col(f"{own}_key") == F.col(f"{own}_k")))
+        counts = more.groupBy(f"{own}_key", f"{own}_run").count()
+        before = counts.select(f"{own}_key", f"{own}_run", (F.sum("count").over(Window.partitionBy(f"{own}_key").orderBy(f"{own}_run")) - F.col("count")).alias(f"{own}_before"))
+        place = F.row_number().over(Window.partitionBy(f"{own}_key", f"{own}_run").orderBy(F.lit(1)))
+        placed = more.withColumn(f"{own}_r", place).join(before, [f"{own}_key", f"{own}_run"]).withColumn(f"{own}_r", F.col(f"{own}_r") + F.col(f"{own}_before"))
+        taken = taken.unionByName(placed.withColumn(f"{own}_t", _each(F.col(f"{own}_takes"), F.col(f"{own}_n"), F.col(f"{own}_r"))).drop(f"{own}_r", f"{own}_run", f"{own}_before")).filter(f"{own}_t > 0")
+    return taken.withColumn(f"{own}_i", F.explode(F.sequence(F.lit(1), F.col(f"{own}_t").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

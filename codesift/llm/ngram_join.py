@@ -18,6 +18,7 @@ columns are not read by ``join_ngrams`` and come back unchanged from ``drop_near
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -188,10 +189,18 @@ def join_ngrams(docs: DataFrame, n: int = WORDS, limit: float = LIMIT, bands: in
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest doc_id stays."""
-    marks = join_ngrams(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents without near copies: of each group the one with the smallest doc_id stays.
+
+    Where ids repeat or are null, every row is a document of its own, and the first one stored stays for its group.
+    """
+    row, gone = f"row_{uuid.uuid4().hex}", f"gone_{uuid.uuid4().hex}"
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        rows, key = docs, F.col("doc_id")
+    else:
+        rows, key = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id())), F.col(row)
+    marks = join_ngrams(rows.select(key.alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
     # What goes grows with the documents, so it is never broadcast.
-    return docs.join(marks.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return rows.join(marks.hint("merge"), key == F.col(gone), "left_anti").drop(row)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

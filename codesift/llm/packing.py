@@ -30,7 +30,7 @@ from codesift.llm.token_files import names
 from codesift.llm.tokens import encoder, vocabulary_path
 
 MAX_TOKENS = 1024
-MAX_SEGMENTS = 64
+MAX_SEGMENTS = 64  # of instruction data
 MAX_LOSS = 1024
 
 # Examples in a task's pool at which it packs, and down to which it does.
@@ -108,13 +108,16 @@ class Packer:
 PIECES = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-def pack_documents(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None) -> DataFrame:
-    """Pieces of the documents' ids (``end_id`` after each document, every id bears loss) in sequences."""
+def pack_documents(docs: DataFrame, end_id: int = 0, vocabulary: str | None = None, max_segments: int = MAX_TOKENS) -> DataFrame:
+    """Pieces of the documents' ids (``end_id`` after each document, every id bears loss) in sequences.
+
+    A document has one id at least, so by default the limit on segments leaves no room unused.
+    """
     bounded_batches(docs.sparkSession)
     path = vocabulary or vocabulary_path()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(path), Packer()
+        coder, packer = encoder(path), Packer((MAX_TOKENS, max_segments, MAX_LOSS))
         sequence = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
 

@@ -20,7 +20,7 @@ from codesift.workloads.check import compare, duck
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 # Columns with names that the operators use inside.
-CLASHING = ["node", "root", "size", "key", "takes", "copies", "seed", "label", "v", "score", "bucket"]
+CLASHING = ["_gone", "_key", "_k", "_n", "_t", "_i", "_r", "_takes", "_run", "_before", "node", "root", "size", "key", "takes", "copies", "seed", "label", "v", "score", "bucket"]
 
 PARA = " ".join(f"w{i}x{i * i % 97}" for i in range(300))
 EDGE = [
@@ -120,6 +120,14 @@ def test_ngram_join(edge, empty):
     assert ngram_join.join_ngrams(empty).count() == 0
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    clean, copy = "a clean text of its own with many other words in it", PARA
+    rows = [(1, copy), (2, copy + " end"), (2, clean), (3, clean + " and more of it"), (3, clean + " and more of it"), (None, copy), (None, "a lone text"), (4, None), (4, None)]
+    got = [r.text for r in ngram_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sum(1 for t in got if t and t.startswith(PARA[:50])) == 1 and clean in got and got.count("a lone text") == 1
+    assert got.count(clean + " and more of it") == 1 and got.count(None) == 2
+
+
 def test_ngram_join_blocks_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
     r = np.random.default_rng(1)
@@ -247,7 +255,7 @@ def test_packing(edge, empty, small):
             for p in sorted(ps, key=lambda p: p.offset):
                 assert p.offset == at and p.length > 0
                 at += p.length
-            assert at <= 1024 and len(ps) <= packing.MAX_SEGMENTS
+            assert at <= 1024
         want = collections.defaultdict(list)
         for d, text, *_ in rows:
             want[d].append(ids_of(text, 0))
@@ -312,6 +320,23 @@ def test_embedding_dedup(spark, monkeypatch):
     assert embedding_dedup.dedup_embeddings(df.limit(0)).count() == 0
 
 
+def test_packing_of_short_documents(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "") for i in range(20_000)], "doc_id long, text string").repartition(2)
+    got = packing.pack_documents(df).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("pieces")).collect()
+    total = sum(x.n for x in got)
+    assert sum(1 for x in got if x.n < 1024) <= 2 and 1024 * len(got) - total < 2 * 1024
+    few = packing.pack_documents(df, max_segments=64).groupBy("sequence_id").count()
+    assert few.filter("count > 64").isEmpty()
+
+
+def test_embedding_labels_of_any_kind(spark):
+    v, w = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    for kind, labels in (("long", [2**62, 2**62 + 1]), ("string", ["cat", "dog:3"])):
+        rows = [(1, v, labels[0]), (2, v, labels[0]), (3, v, labels[1]), (4, w, labels[1]), (5, w, labels[1]), (6, v, None)]
+        got = embedding_dedup.dedup_embeddings(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()
+        assert {x.vec_id: (x.n_links, x.component_id) for x in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
 # ---- 6 mixing
 
 def test_mixing_targets(spark):
