@@ -271,6 +271,12 @@ def _audited(s, d) -> DataFrame:
     return _f(s, d).groupBy("project_id").agg(F.count_distinct("file").alias("n_files"))
 
 
+def _report(s, d) -> DataFrame:
+    """Whole reports: head, findings and, of the projects that have files, the map."""
+    project_map = _map(s, d).withColumn("project_id", F.regexp_replace("project_id", "^src", "P"))
+    return render.report_rows(_merged(s, d), _audited(s, d), "2024-01-01T00:00:00Z", 1.0, ["model-a", "model-b"], project_map=project_map)
+
+
 FINDINGS = {
     "finding_validity": lambda s, d: responses.parse_responses(corpus.responses(s, d))[0].select("resp_id", "ord", "severity", "title", "line"),
     "union_findings": lambda s, d: merge.union_findings([_f(s, d).filter(F.col("pass_no") == n) for n in (0, 1, 2)]).select(
@@ -283,8 +289,7 @@ FINDINGS = {
     "fallback_findings": lambda s, d: _flat(merge.fallback_findings(_f(s, d), _merged_few(s, d))).select("project_id", "finding_id", "confidence", "auditors"),
     "eval_coverage": lambda s, d: merge.eval_coverage(_truth(s, d), _f(s, d), ["auditor-2", "auditor-3"]).withColumnsRenamed(
         {"auditor-2": "auditor_2", "auditor-3": "auditor_3"}),
-    "render_report": lambda s, d: render.report_in_order(render.report_rows(
-        _merged(s, d), _audited(s, d), "2024-01-01T00:00:00Z", 1.0, ["model-a", "model-b"])).select("project_id", "part", "merge_key", "text"),
+    "render_report": lambda s, d: render.report_in_order(_report(s, d)).select("project_id", "part", "merge_key", "text"),
 }
 
 # --- responses ---------------------------------------------------------------

@@ -405,7 +405,8 @@ def findings_sql() -> dict[str, str]:
               || '**Confidence:** ' || cast(round(confidence * 100) as int) || '%' || chr(10) || '**Flagged by:** ' || replace(auditors, ',', ', ') || chr(10) || chr(10)
               || '**Description:** What goes wrong: ' || title || chr(10) || chr(10) || '**Exploit:** Call it twice in ' || file || chr(10) || chr(10)
               || '**Recommendation:** Add a guard in ' || file || chr(10) || chr(10) || '---' || chr(10) as text from merged)
-            select * from heads union all select * from blocks""",
+            select * from heads union all select * from blocks
+            union all select regexp_replace(project_id, '^src', 'P'), 2, merge_key, text from ({packing_sql()['render_report_map']})""",
     }
 
 
