@@ -80,17 +80,27 @@ class EliasFano:
         bits = np.unpackbits(self.low[a // 8: -(-b // 8)], bitorder="little")[a % 8: a % 8 + b - a].reshape(j - i, -1)
         return bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
 
+    def _ones(self, k: int) -> np.ndarray:
+        """Places of the ones from mark ``k`` up to the next."""
+        start = int(self.marks[k])
+        stop = int(self.marks[k + 1]) if k + 1 < len(self.marks) else len(self.high) * 8
+        bits = np.unpackbits(self.high[start // 8: -(-stop // 8)], bitorder="little")[start % 8: start % 8 + stop - start]
+        return start + np.flatnonzero(bits)
+
     def select(self, i: int) -> int:
         """The i-th value, reading the bits from the nearest mark on."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        k = i // SELECT_STEP
-        start = int(self.marks[k])
-        stop = int(self.marks[k + 1]) if k + 1 < len(self.marks) else len(self.high) * 8
-        bits = np.unpackbits(self.high[start // 8: -(-stop // 8)], bitorder="little")[start % 8:]
-        one = start + int(np.flatnonzero(bits)[i % SELECT_STEP])
+        one = int(self._ones(i // SELECT_STEP)[i % SELECT_STEP])
         return ((one - i) << self.low_bits) + int(self._low(i, i + 1)[0])
 
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All values, the ``SELECT_STEP`` of one mark at a time."""
+        for k in range(len(self.marks)):
+            i = k * SELECT_STEP
+            ones = self._ones(k)
+            yield ((ones - np.arange(i, i + len(ones))).astype(np.uint64) << np.uint64(self.low_bits)) + self._low(i, i + len(ones))
+
     def values(self) -> np.ndarray:
         """All values."""
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
@@ -196,7 +206,9 @@ def names(schema: T.StructType) -> pa.Schema:
 
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Offsets come from the select marks, for the documents of one mark at a time."""
     spark = files.sparkSession
     bounded_batches(spark)
 
@@ -204,10 +216,13 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1)):
                 f = TokenFile(memoryview(raw.as_buffer()))
-                ends = f.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(f.body[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_pydict({"file": [path.rsplit("/", 1)[1]] * f.n_docs, "doc_id": f.doc_ids(), "at": starts, "n_tokens": ends - starts, "ids_crc32": crc}, names(DOCS))
+                name, ids, start, done = path.rsplit("/", 1)[1], f.doc_ids(), 0, 0
+                for block in f.ends.blocks():
+                    ends = block.astype(np.int64)
+                    starts = np.append(start, ends[:-1])
+                    crc = [zlib.crc32(f.body[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_pydict({"file": [name] * len(ends), "doc_id": ids[done: done + len(ends)], "at": starts, "n_tokens": ends - starts, "ids_crc32": crc}, names(DOCS))
+                    start, done = int(ends[-1]), done + len(ends)
 
     if files.isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
