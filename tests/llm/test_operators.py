@@ -152,6 +152,8 @@ def test_elias_fano():
         e, _ = token_files.EliasFano.from_bytes(token_files.EliasFano.of(v).to_bytes(), 0)
         assert e.values().tolist() == v.tolist()
         assert [e.select(i) for i in range(0, n, 37)] == v[::37].tolist()
+        blocks = [b.tolist() for b in e.blocks()]
+        assert sum(blocks, []) == v.tolist() and all(len(b) <= token_files.SELECT_STEP for b in blocks)
         if n == 5000:
             assert len(e.to_bytes()) < 2.6 * n
     with pytest.raises(IndexError):
@@ -172,6 +174,16 @@ def test_token_files_round_trip(spark, edge, empty):
         assert got == want
 
 
+def test_offsets_come_from_select_marks(spark):
+    rows = [(i, "a b c " * (i % 5)) for i in range(300)]
+    folder = f"{work_dir(spark)}/marks"
+    files = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), folder, 2)
+    raw = token_files.dump([r[0] for r in rows], [np.array(ids_of(t, 2), "<u2") for _, t in rows], 2)
+    whole = token_files.TokenFile(raw)
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_token_files(files, folder).collect())
+    assert got == [(whole.start(i), i, len(whole.ids(i))) for i in range(300)]
+
+
 def test_token_file_access():
     raw = token_files.dump([None, -5, -5, 9], [np.array(x, "<u2") for x in ([1, 2], [2], [3, 4, 2], [2])], 2)
     f = token_files.TokenFile(raw)
@@ -423,11 +435,60 @@ def test_rules_edges(edge, empty):
     assert kept.columns == edge.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in quality_rules.score_rules(edge).filter("kept").collect())
     assert quality_rules.score_rules(empty).count() == 0
-    order = quality_rules.estimate(edge)
+    text = F.col("text")
+    counts = quality_rules.of_words(quality_rules.words(text)) | quality_rules.of_text(text)
+    order = quality_rules.estimate(quality_rules.sample(edge), counts, quality_rules.RULES)
     value = [e.rejected / max(e.cost, 1e-6) for e in order]
     assert value == sorted(value, reverse=True)
 
 
+def brute_kept(text):
+    """The verdict in plain Python."""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = collections.Counter(zip(w, w[1:], w[2:]))
+    covered = {i + j for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for j in range(3)}
+    if len(w) < 50 or 100 * len(covered) > 50 * len(w):
+        return False
+    chars, share = sum(map(len, w)), lambda n, of, top: 100 * n > top * of
+    return not (share(len(re.findall(r"[#*$%&|<>]", text)), len(w), 20) or share(len(lines) - len(set(lines)), len(lines), 50)
+                or not 2 * len(w) <= chars <= 20 * len(w)
+                or share(sum(x.lstrip(" \t\n\v\f\r")[0] in "-*\u2022" for x in lines), len(lines), 90)
+                or share(sum(x.rstrip(" \t\n\v\f\r").endswith(("...", "\u2026")) for x in lines), len(lines), 30)
+                or share(sum(all("!" <= c <= "~" and not c.isalpha() for c in x) for x in w), len(w), 50))
+
+
+def test_rules_equal_brute_force(spark):
+    words = [f"w{i}" for i in range(80)]
+    lines = [" ".join(words[i:i + 8]) for i in range(0, 80, 8)]
+    texts = [" ".join(words), "\n".join(f" - {x}" for x in lines), "\n".join([f"\u2022{x}" for x in lines[:9]] + [lines[9]]),
+             "\n".join([f"\u2022{x}" for x in lines[:9]] + ["*" + lines[9]]), "\n".join(f"{x} ...\r" for x in lines[:3]) + "\n" + "\n".join(lines[3:]),
+             "\n".join(f"{x}\u2026" for x in lines[:4]) + "\n" + "\n".join(lines[4:]), "\n".join(f"{x}...\u2028" for x in lines),
+             " ".join(f"{i}." for i in range(60)) + " " + " ".join(words[:60]), " ".join(f"{i}." for i in range(61)) + " " + " ".join(words[:60]),
+             " ".join(words[:49]), None, "", " \n ", "\n".join(lines + lines[:1]), " ".join(x * 12 for x in words), " ".join(f"# {x}" for x in words)]
+    got = quality_rules.score_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in got} == {i: brute_kept(t) for i, t in enumerate(texts)}
+    assert {True, False} == {r.kept for r in got if not r.base_failed}
+
+
+def test_rejected_rows_skip_later_rules(spark, monkeypatch):
+    """A count that raises is never computed for rows that are out before its rule."""
+    good = " ".join(f"w{i}" for i in range(80))
+    boom = quality_rules.Rule("boom", lambda c: F.raise_error(F.concat(F.lit("computed for "), c["n_lines"].cast("string"))).cast("boolean"))
+    marks = quality_rules.Rule("symbols", next(r.rejects for r in quality_rules.RULES if r.name == "symbols"))
+    monkeypatch.setattr(quality_rules, "estimate", lambda part, counts, rules: [quality_rules.Estimate(r, 1.0, 0.0) for r in rules])
+    out = spark.createDataFrame([(1, "few"), (2, good.replace(" ", " # ")), (3, "one two three " * 40), (4, None)], "doc_id long, text string")
+    assert not any(r.kept for r in quality_rules.score_rules(out, (marks, boom)).collect())
+    with pytest.raises(Exception, match="computed for 1"):
+        quality_rules.score_rules(out.union(spark.createDataFrame([(5, good)], out.schema)), (marks, boom)).collect()
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.range(500).select(F.repeat(F.lit("a "), (F.col("id") * 100).cast("int")).alias("text"))
+    rows = quality_rules.sample(docs, 50).collect()
+    assert len(rows) == 50 and all(len(r.text) <= quality_rules.SAMPLE_CHARS for r in rows)
+
+
 def test_rules_stay_in_the_jvm(edge):
     plan = quality_rules.score_rules(edge)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
