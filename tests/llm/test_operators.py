@@ -210,9 +210,9 @@ def test_windows_cover_texts():
 
 
 @pytest.fixture(scope="module")
-def net(small):
-    ids, tags = pii.training_windows(small)
-    return pii.fit(ids, tags, rounds=250)
+def net(spark):
+    ids, tags = pii.training_windows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    return pii.fit(ids, tags)
 
 
 def test_tagger_on_held_out_items(net):
@@ -227,6 +227,64 @@ def test_tagger_on_held_out_items(net):
     assert ((got > 0) & (gold == 0)).sum() < 0.05 * (gold > 0).sum()
 
 
+def test_spans_are_found_in_whole_texts(net, small):
+    """Own ways of writing, and ways held out from the generator, between words of real documents."""
+    texts = [x.text for x in small.collect() if len(x.text or "") > 500]
+    r = np.random.default_rng(123)
+    card = lambda sep: sep.join(d[i: i + 4] for d in [pii.card_digits(r)] for i in range(0, 16, 4))
+    ways = {**{k: (lambda k=k: pii.written_anew(k, r), k, 0.8) for k in pii.KINDS},
+            "ip (.)": (lambda: "(.)".join(map(str, r.integers(1, 256, 4))), "ip", 0.8), "ip [.]": (lambda: " [.] ".join(map(str, r.integers(1, 256, 4))), "ip", 0.8),
+            "card 2": (lambda: card(".").replace(".", "", 1), "card", 0.5),
+            "phone 1": (lambda: f"1 ({pii._num(r, 3)}) {pii._num(r, 3)}-{pii._num(r, 4)}", "phone", 0.8)}
+    for name, (make, kind, least) in ways.items():
+        found = 0
+        for _ in range(60):
+            t = texts[int(r.integers(len(texts)))]
+            cut = t.find(" ", int(r.integers(0, len(t) - 400))) + 1
+            before, item = t[max(0, cut - 200): cut], make()
+            (_, spans), = pii.spans_of(net, [before + item + t[cut - 1: cut + 200]])
+            found += (len(before), len(before) + len(item)) in spans[kind]
+        assert found >= least * 60, (name, found)
+    for t, kind in (("call 543-555-9258 before noon", "phone"), ("write to bob.smith (at) example.com today", "email")):
+        assert next(pii.spans_of(net, [t]))[1][kind], t
+
+
+def test_plausible_numbers():
+    good = [("ip", "1[.]2[.]3[.]255"), ("card", "4111.1111.1111.1111"), ("phone", "543-555-9258"), ("email", "bob at mail dot com"), ("email", "BOB @ mail . com")]
+    bad = [("ip", "1[.]2[.]3[.]256"), ("ip", "1.2.3"), ("card", "4111.1111.1111.1112"), ("card", "4111"), ("phone", "2024-01-15"), ("phone", "1" * 16),
+           ("email", "by by by by"), ("email", "thly. thly."), ("email", "a@b@c.d"), ("email", "@ . "), ("email", "a at b")]
+    assert all(pii.plausible(*x) for x in good) and not any(pii.plausible(*x) for x in bad)
+
+
+def test_base_spans_equal_plain_patterns():
+    """Each kind against its pattern, on made-up strings of the characters that matter."""
+    pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+               "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def sum_of(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d)))
+
+    def passes(kind, m):
+        d = "".join(c for c in m if c in "0123456789")
+        return (kind == "email" or kind == "ip" and max(map(int, m.split("."))) <= 255 or kind == "card" and 16 <= len(d) <= 19 and sum_of(d) % 10 == 0
+                or kind == "phone" and 8 <= len(d) <= 15)
+
+    r = np.random.default_rng(11)
+    seen = collections.Counter()
+    for i in range(6000):
+        chars = ("0123456789" * 4 + " -.+()x", "01 .", "ab1@.-é ", "0123456789 -")[i % 4]
+        t = "".join(r.choice(list(chars), int(r.integers(0, 60))))
+        if i % 5 == 0:
+            t += " " + pii.written_anew(pii.KINDS[int(r.integers(4))], r) + t[::-1]
+        got = pii.base_spans(t)
+        want = {k: [m.span() for m in re.finditer(p, t) if passes(k, m[0])] for k, p in pattern.items()}
+        assert got == want, t
+        seen.update(k for k in want for _ in want[k])
+        text = ",".join(f"{k}:{s}:{e}" for k in ("email", "ip", "card", "phone") for s, e in want[k])
+        assert pii.written(got) == text
+    assert all(seen[k] > 50 for k in pattern), seen
+
+
 def test_viterbi_is_the_best_path(net):
     r = np.random.default_rng(4)
     ids = r.integers(1, 128, (5, 6)).astype(np.uint8)
