@@ -211,7 +211,7 @@ def test_windows_cover_texts():
 
 @pytest.fixture(scope="module")
 def net(spark):
-    ids, tags = pii.training_windows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    ids, tags = pii.training_windows(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     return pii.fit(ids, tags)
 
 
