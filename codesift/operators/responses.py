@@ -127,14 +127,16 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
     keys = ["resp_id", "auditor_id", "pass_no"]
     text = responses.withColumn("_text", strip_think(F.col("raw"))).select(
         *keys, findings_part(F.col("_text")).alias("body"), notes_part(F.col("_text")).alias("tail"))
-    found = with_json(with_json(text, "body", "body_json"), "tail", "tail_json")
+    # The JSON is found once per row and part: no filter below is pushed into the search for it, which it would multiply.
+    part = lambda c: _once(with_json(text.select(*keys, c), c, f"{c}_json"), keys, [F.col(x) for x in (c, f"{c}_json", f"{c}_json_v")])
+    body, tail = part("body"), part("tail")
 
     item = F.col("item")
-    parsed = _once(_items(found, "body_json", keys, ["$", "$.findings"]), [*keys, "ord", "item"],
+    parsed = _once(_items(body, "body_json", keys, ["$", "$.findings"]), [*keys, "ord", "item"],
                    [_typed(item, f, "number" if f == "line" else "string").alias(f) for f in FINDING_FIELDS])
     findings = parsed.filter(finding_validity()).drop("item").withColumn("line", F.col("line").cast("int"))
 
-    raw_notes = _items(found, "tail_json", keys, ["$"]).unionByName(_items(found, "body_json", keys, ["$.suspicions"]))
+    raw_notes = _items(tail, "tail_json", keys, ["$"]).unionByName(_items(body, "body_json", keys, ["$.suspicions"]))
     fn = F.try_variant_get(item, "$.targetFunction", "variant")
     notes_all = _once(raw_notes, [*keys, "ord", "item"], [
         _typed(item, "targetFile", "string").alias("target_file"), _typed(item, "targetFunction", "string").alias("target_function"),
@@ -142,7 +144,7 @@ def parse_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame, DataFra
         (fn.isNull() | (F.schema_of_variant(fn) == "STRING")).alias("function_ok")])
     notes = notes_all.filter(note_validity()).drop("item", "function_ok")
 
-    bad_text = found.filter((F.col("body") != "") & F.col("body_json").isNull()).select(
+    bad_text = body.filter((F.col("body") != "") & F.col("body_json").isNull()).select(
         *keys, F.lit(None).cast("int").alias("ord"), F.lit("no JSON").alias("reason"), F.col("body").alias("text"))
     bad_items = parsed.filter(~finding_validity()).select(*keys, "ord", F.lit("finding not valid").alias("reason"), F.to_json(item).alias("text"))
     bad_notes = notes_all.filter(~note_validity()).select(*keys, "ord", F.lit("note not valid").alias("reason"), F.to_json(item).alias("text"))

@@ -441,3 +441,12 @@ def test_json_at_the_end_of_a_text(spark):
     assert got == {i: whole(t.strip()) for i, t in enumerate(texts)}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rejects_search_a_response_once(spark):
+    rows = [(1, "a", 1, 'text [{"severity": "High"}]'), (2, "a", 1, "no list ]"), (3, "a", 1, 'x {"findings": []}\nSUSPICIONS:\n[{"reason": "short"}]')]
+    df = spark.createDataFrame(rows, "resp_id long, auditor_id string, pass_no int, raw string")
+    rejects = responses.parse_responses(df)[2].select("resp_id", "reason")
+    plan = rejects._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__, 1)") <= 4  # quotes are masked once a branch and part
+    assert sorted(map(tuple, rejects.collect())) == [(1, "finding not valid"), (2, "no JSON"), (3, "note not valid")]
