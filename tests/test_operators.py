@@ -450,3 +450,16 @@ def test_rejects_search_a_response_once(spark):
     plan = rejects._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("__, 1)") <= 4  # quotes are masked once a branch and part
     assert sorted(map(tuple, rejects.collect())) == [(1, "finding not valid"), (2, "no JSON"), (3, "note not valid")]
+
+
+@pytest.mark.parametrize("max_batches", [None, 90])
+def test_packing_in_segments_matches_slow_fill(spark, monkeypatch, max_batches):
+    monkeypatch.setattr(packing, "SEGMENT_FILES", 120)
+    rng, files = random.Random(5), {}
+    for p, n in (("p", 900), ("q", 200), ("r", 3)):
+        files[p] = [(f"f{i:04d}", rng.choice([0, 1, 5, 90, 400, 999, 1000, 1001, rng.randint(1, 1200)]), rng.randint(0, 19) / 20) for i in range(n)]
+    df = spark.createDataFrame([(p, *f) for p in files for f in files[p]], "project_id string, path string, size long, attack_score double")
+    assert packing._segments(df.withColumn("sort_key", F.struct(-F.col("attack_score"), "path")))[1] > 3
+    got = packing.greedy_pack(df, 1000, 4, max_batches)
+    want = [(p, *w) for p in files for w in _pack_slow(files[p], 1000, 4, max_batches or 10_000)]
+    assert sorted((r["project_id"], r["batch_no"], r["place"], r["path"]) for r in got.collect()) == sorted(want)
