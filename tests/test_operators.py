@@ -463,3 +463,16 @@ def test_packing_in_segments_matches_slow_fill(spark, monkeypatch, max_batches):
     got = packing.greedy_pack(df, 1000, 4, max_batches)
     want = [(p, *w) for p in files for w in _pack_slow(files[p], 1000, 4, max_batches or 10_000)]
     assert sorted((r["project_id"], r["batch_no"], r["place"], r["path"]) for r in got.collect()) == sorted(want)
+
+
+def test_path_joins_send_nothing_that_grows_through_the_driver(spark):
+    files = spark.createDataFrame([("p", f"src/C{i}.sol", 10, 0.5, [f"./C{i + 1}.sol"]) for i in range(20)],
+                                  "project_id string, path string, size long, attack_score double, imports array<string>")
+    notes = spark.createDataFrame([("p", "src/C3.sol", 0.9)], "project_id string, target_file string, confidence double")
+    targets = paths.suspicion_targets(notes, files)
+    assert [r["path"] for r in targets.collect()] == ["src/C3.sol"]
+    near = paths.import_neighbours(files, targets)
+    assert sorted(r["path"] for r in near.collect()) == ["src/C2.sol", "src/C4.sol"]
+    for df in (targets, near):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") <= plan.count("collect_set")  # only the needle lengths of each project
