@@ -137,3 +137,40 @@ def test_segments_do_not_matter(spark, monkeypatch):
     whole = {tuple(r) for r in scan.rule_scan(df).collect()}
     monkeypatch.setattr(scan, "SEGMENT", 5)
     assert {tuple(r) for r in scan.rule_scan(df).collect()} == whole
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_content_is_built_once(spark):
+    from codesift.operators.features import featurize_files
+    from codesift.workloads.corpus import files_of
+
+    docs = spark.createDataFrame([(5, "some words of a text", "src1", 20), (10, None, "src1", 20)], "doc_id long, text string, source string, n_chars long")
+    found = rule_scan(featurize_files(files_of(docs)))
+    assert _plan(found).count("array_join(transform(") == 1
+    assert found.filter("file like '%C10.%'").count() == 0
+
+
+def test_few_rules_leave_lines_early_and_find_the_same(spark):
+    lines = ["pragma solidity ^0.7.0;", "contract A is BaseProxy {", "  address private owner;", "for (uint i = 0; i < a.length; i++) {", "  require(b[i] == {x: 1}.x);",
+             "  to.transfer(b[i]);", "}", "delete a[3];", "for (uint i = 0; ; ) {", "for (uint j = 0; ; ) {", "return;", "", "int z = 1;"]
+    files = spark.createDataFrame([("p", "a.sol", "\n".join(lines * 12), "solidity"), ("p", "b.sol", None, "solidity"), ("p", "c.sol", "", "solidity")],
+                                  "project_id string, path string, content string, language string")
+    every = rule_scan(files).cache()
+    for rule in ("ETH-075", "ETH-030", "ETH-071"):
+        few = rule_scan(files, {rule})
+        assert few.count() > 0
+        assert sorted(map(str, few.collect())) == sorted(map(str, every.filter(f"pattern_id = '{rule}'").collect()))
+    assert all(" OR coalesce(" in _plan(rule_scan(files, {rule})) for rule in ("ETH-075", "ETH-030"))
+
+
+def test_braces_are_counted_without_a_pattern(spark):
+    from codesift.rules.solidity import _count
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("{a{}",), ("",), ("\u00fc{\U0001f600}",), (None,)], "t string")
+    got = rows.select(_count(F.col("t"), "{"), F.regexp_count("t", F.lit(r"\{"))).collect()
+    assert all(a == b for a, b in got) and got[0][0] == 2
