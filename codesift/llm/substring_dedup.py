@@ -29,7 +29,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +54,8 @@ HOT_DOCS = 4_000
 HOT_SHARE = 100
 HOT_LEAST = 20
 HOT_SEEDS = 20_000
+# A short seed, or sequence of seeds, that at most so many rows have joins all pairs of its documents.
+PAIRED = 16
 
 SEEDS = T.StructType([T.StructField("seed", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("pos", T.IntegerType())])
 _SPANS = T.ArrayType(T.IntegerType())
@@ -130,7 +133,7 @@ def common_seeds(docs: DataFrame) -> dict[int, tuple[int, int]]:
     n = docs.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < (1_000_000 * HOT_DOCS) // max(n, 1)
     sample = docs.select("doc_id", "text").filter(drawn)
-    least = max(HOT_LEAST, min(n, HOT_DOCS) // HOT_SHARE)
+    least = max(HOT_LEAST, min(n, HOT_DOCS) // HOT_SHARE, PAIRED + 1)
     counts = seeds_of(sample).filter("pos >= 0").groupBy("seed").count().filter(F.col("count") >= least)
     hot = [r[0] for r in counts.orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).collect()]
     if not hot:
@@ -139,9 +142,56 @@ def common_seeds(docs: DataFrame) -> dict[int, tuple[int, int]]:
     return {r[0]: (r[1][0], r[1][1]) for r in found.collect()}
 
 
-def anchors_of(docs: DataFrame) -> DataFrame:
-    """doc_id, hub, pos, hub_pos, size (words, negative for a later place joined to the first): each repeated seed of a
-    document and its place in the first document that has it.
+def _whole_groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, tuple | None]]:
+    """The columns of sorted rows, the first row of each row's group (equal first column) and, where the first group began
+    in rows given before, the first row of that group.  Only groups of more than ``most`` rows come in parts, each part
+    but the last of more than ``most`` rows."""
+    held: list[np.ndarray] | None = None
+    opened: tuple | None = None
+
+    def given(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, tuple | None]:
+        nonlocal opened
+        new = np.ones(len(cols[0]), bool)
+        new[1:] = cols[0][1:] != cols[0][:-1]
+        start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        before = opened if opened is not None and opened[0] == cols[0][0] else None
+        if before is None or start[-1]:
+            opened = tuple(int(c[start[-1]]) for c in cols)
+        return cols, start, before
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [c.to_numpy() for c in b.columns]
+        cols = cols if held is None else [np.concatenate(c) for c in zip(held, cols)]
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        cut = cut if len(cols[0]) - cut <= most else len(cols[0])
+        held = [c[cut:] for c in cols]
+        if cut:
+            yield given([c[:cut] for c in cols])
+    if held is not None and len(held[0]):
+        yield given(held)
+
+
+def _pairs_within(start: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (later, earlier) of all pairs of documents of one group; groups have at most ``PAIRED`` rows."""
+    for lag in range(1, PAIRED):
+        i = np.flatnonzero((start[lag:] == start[:-lag]) & (doc[lag:] != doc[:-lag])) + lag
+        if len(i):
+            yield i, i - lag
+
+
+def _rows(parts: list[tuple], schema: str) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*parts)] if parts else []
+    kinds = [(n, pa.int64() if k == "long" else pa.int32()) for n, k in (c.split() for c in schema.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array(cols[i] if parts else [], k) for i, (_, k) in enumerate(kinds)], [n for n, _ in kinds])
+
+
+ANCHORS = "doc_id long, hub long, pos int, hub_pos int, size int, via long, via_pos int"
+
+
+def seed_anchors(docs: DataFrame) -> DataFrame:
+    """The anchors of single seeds, and a row of size 0 for each place of a short seed that more than ``PAIRED`` rows have.
 
     One exchange brings the places of a seed together, sorted by document, and a task reads them as a stream: the first
     row of a seed is its hub, the others give anchors.  Places of common seeds, whose hubs are known, are anchors before
@@ -162,37 +212,124 @@ def anchors_of(docs: DataFrame) -> DataFrame:
             own = as_long(mix(seed.astype(np.uint64) ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1)) | (seed & 1)
             out = pa.RecordBatch.from_arrays([pa.array(np.where(known, own, seed)), *b.columns[1:], pa.array(hub, mask=~known), pa.array(place.astype(np.int32), mask=~known)],
                                              ["seed", "doc_id", "pos", "hub", "hub_pos"])
-            yield out.filter(pa.array(~known | (hub != doc)))
+            yield out.filter(pa.array(~known | (hub != doc) | (seed & 1 == 0)))
+
+    def to_hub(s: np.ndarray, d: np.ndarray, p: np.ndarray, h: np.ndarray, q: np.ndarray) -> tuple:
+        keep = np.flatnonzero(d != h)
+        size = np.where(s[keep] & 1 == 1, MIN_WORDS, SEED_WORDS)
+        later = p[keep] < 0
+        return d[keep], h[keep], np.where(later, -1 - p[keep], p[keep]), q[keep], np.where(later, -size, size), h[keep], q[keep]
+
+    def unsettled(rows: np.ndarray, d: np.ndarray, p: np.ndarray, h: np.ndarray, q: np.ndarray) -> tuple:
+        return d[rows], d[rows], p[rows], p[rows], np.zeros(len(rows), np.int32), h[rows], q[rows]
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int] | None = None  # seed, hub and place where the last batch ended
-        for b in batches:
-            seed, doc, pos = (b.column(i).to_numpy() for i in range(3))
-            given = np.array(b.column(3).is_valid(), bool)
-            hub, place = np.zeros(len(seed), np.int64), np.zeros(len(seed), np.int32)
-            rows = np.flatnonzero(~given)
-            if len(rows):
-                s, d, p = seed[rows], doc[rows], pos[rows]
-                new = np.ones(len(s), bool)
-                new[1:] = s[1:] != s[:-1]
-                start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-                h, q = d[start], p[start]
-                if held is not None and s[0] == held[0]:
-                    same = start == 0
-                    h, q = np.where(same, held[1], h), np.where(same, held[2], q)
-                hub[rows], place[rows] = h, q
-                held = (int(s[-1]), int(h[-1]), int(q[-1]))
-            hub[given], place[given] = b.column(3).filter(pa.array(given)).to_numpy(), b.column(4).filter(pa.array(given)).to_numpy()
-            keep = np.flatnonzero(doc != hub)
-            size = np.where(seed[keep] & 1 == 1, MIN_WORDS, SEED_WORDS)
-            later = pos[keep] < 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array(hub[keep]), pa.array(np.where(later, -1 - pos[keep], pos[keep]).astype(np.int32)), pa.array(place[keep]),
-                                              pa.array(np.where(later, -size, size).astype(np.int32))], ["doc_id", "hub", "pos", "hub_pos", "size"])
+        known: list[tuple] = []
+
+        def unknown() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                given = b.column(3).is_valid()
+                mine = b.filter(given)
+                if mine.num_rows:
+                    s, d, p, h, q = (c.to_numpy() for c in mine.columns)
+                    known.extend([to_hub(s, d, p, h, q), unsettled(np.flatnonzero((s & 1 == 0) & (p >= 0)), d, p, h, q)])
+                yield b.filter(pa.compute.invert(given)).select([0, 1, 2])
+
+        for (s, d, p), start, before in _whole_groups(unknown(), PAIRED):
+            h, q, n = d[start], p[start], np.bincount(start, minlength=len(s))[start]
+            if before is not None:
+                h, q, n = np.where(start == 0, before[1], h), np.where(start == 0, before[2], q), np.where(start == 0, PAIRED + 1, n)
+            parts, plain = [to_hub(s, d, p, h, q)], (s & 1 == 0) & (p >= 0)
+            rare = np.flatnonzero(plain & (n > 2) & (n <= PAIRED))
+            for i, j in _pairs_within(start[rare], d[rare]):
+                i, j = rare[i], rare[j]
+                i, j = i[d[j] != h[j]], j[d[j] != h[j]]
+                parts.append((d[i], d[j], p[i], p[j], np.full(len(i), SEED_WORDS), h[i], q[i]))
+            parts.append(unsettled(np.flatnonzero(plain & (n > PAIRED)), d, p, h, q))
+            yield _rows(parts + known, ANCHORS)
+            known.clear()
+        yield _rows(known, ANCHORS)
 
     # First places before later ones, so that the first row of a seed is the first place in its first document.
     order = ["seed", "doc_id", F.col("pos") < 0, "pos"]
     met = seeds_of(docs).mapInArrow(name, placed).repartition("seed").sortWithinPartitions(*order)
-    return met.mapInArrow(anchor, "doc_id long, hub long, pos int, hub_pos int, size int")
+    return met.mapInArrow(anchor, ANCHORS)
+
+
+# A sequence of seeds of a document: its first and last seed, each with the hub and place that identify it.
+SEQUENCES = "seed long, doc_id long, pos int, last int, via long, via_pos int, via_last long, via_last_pos int"
+
+
+def sequence_anchors(sequences: DataFrame) -> DataFrame:
+    """The anchors of sequences of seeds, on their first and last seeds, and the rows of sequences that more than ``PAIRED``
+    rows have (size 0, by first and last seed).  Of these, sequences of ``MIN_WORDS`` words are joined to the first document."""
+    schema = f"{ANCHORS}, seed long, last int, via_last long, via_last_pos int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (s, d, p, l, v, vp, w, wp), start, before in _whole_groups(batches, PAIRED):
+            parts = []
+            nil = lambda n: (np.zeros(n, np.int64),) * 4
+
+            def put(i: np.ndarray, e: np.ndarray, ep: np.ndarray, el: np.ndarray, ends: tuple) -> None:
+                for x, y, a, b in ((p, ep, v, vp), (l, el, w, wp)):
+                    # Where the partner is the seed's hub, the anchor is known.
+                    k = (e != a[i]) & (e != d[i])
+                    via, via_pos = (a[i], b[i]) if ends is None else ends
+                    parts.append((d[i][k], e[k], x[i][k], y[k], np.full(int(k.sum()), SEED_WORDS), via[k], via_pos[k], *nil(int(k.sum()))))
+
+            n = np.bincount(start, minlength=len(s))[start]
+            if before is not None:
+                n = np.where(start == 0, PAIRED + 1, n)
+            rare = np.flatnonzero((n > 1) & (n <= PAIRED))
+            for i, j in _pairs_within(start[rare], d[rare]):
+                i, j = rare[i], rare[j]
+                put(i, d[j], p[j], l[j], None)
+            long = l + SEED_WORDS - p >= MIN_WORDS
+            i = np.flatnonzero((n > PAIRED) & long)
+            e, ep, el = d[start[i]], p[start[i]], l[start[i]]
+            if before is not None:
+                e, ep, el = (np.where(start[i] == 0, before[k], c) for k, c in ((1, e), (2, ep), (3, el)))
+            # The first document stands for all of these, so such anchors are those of a hub.
+            for x, y in ((p, ep), (l, el)):
+                k = e != d[i]
+                parts.append((d[i][k], e[k], x[i][k], y[k], np.full(int(k.sum()), SEED_WORDS), e[k], y[k], *nil(int(k.sum()))))
+            i = np.flatnonzero((n > PAIRED) & ~long)
+            parts.append((d[i], d[i], p[i], p[i], np.zeros(len(i), np.int32), v[i], vp[i], s[i], l[i], w[i], wp[i]))
+            yield _rows(parts, schema)
+
+    return sequences.repartition("seed").sortWithinPartitions("seed", "doc_id", "pos").mapInArrow(run, schema)
+
+
+def anchors_of(docs: DataFrame) -> DataFrame:
+    """doc_id, hub, pos, hub_pos, size (words, negative for a later place joined to the first), via, via_pos: each repeated
+    seed of a document, its place in the first document that has it (via is that document), and its places in the other
+    earlier documents (via and via_pos are the seed's place in the first).
+
+    A short seed that at most ``PAIRED`` rows have joins all pairs of its documents.  The places of the others are joined
+    to sequences with the places that follow them, and these to longer ones, until at most ``PAIRED`` rows have a sequence
+    or it spans ``MIN_WORDS`` words; so documents meet on what tells them apart from the other documents of a phrase.
+    """
+    met = cut_lineage(seed_anchors(docs))
+    out = met.filter("size != 0")
+    seed = F.xxhash64("via", "via_pos")
+    todo = met.filter("size = 0").select(seed.alias("seed"), "doc_id", "pos", F.col("pos").alias("last"), "via", "via_pos", F.col("via").alias("via_last"), F.col("via_pos").alias("via_last_pos"))
+    row = F.struct("seed", "pos", "last", "via_last", "via_last_pos")
+    in_order = Window.partitionBy("doc_id").orderBy("pos", "last", "seed")
+    follows = lambda c: (c["last"] > F.col("last")) & (c["pos"] - F.col("last") <= MAX_GAP)
+    level = 0
+    while True:
+        # The next two of single seeds, so that one of them may be changed; then the next; then the furthest within reach.
+        leads = ([1, 2], [1], [16, 8, 4, 2, 1])[min(level, 2)]
+        ahead = todo.select("*", *[F.lead(row, n).over(in_order).alias(f"n{n}") for n in leads])
+        found = [F.when(follows(F.col(f"n{n}")), F.col(f"n{n}")) for n in leads]
+        longer = ahead.withColumn("n", F.explode(F.array(*found) if level == 0 else F.array(F.coalesce(*found)))).filter(F.col("n").isNotNull()).select(
+            F.xxhash64("seed", "n.seed").alias("seed"), "doc_id", "pos", "n.last", "via", "via_pos", "n.via_last", "n.via_last_pos")
+        met = cut_lineage(sequence_anchors(longer))
+        out = out.unionByName(met.filter("size != 0").select(*out.columns))
+        todo = met.filter("size = 0").select(*longer.columns)
+        if todo.isEmpty():
+            return out
+        level += 1
 
 
 class Fenwick:
@@ -287,10 +424,24 @@ def _paths(pair: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) ->
                 yield int(pair[first[a]]), xs, ys, xe, ye, [c[i] for i in path for c in cols]
 
 
-def _chains_of(doc: np.ndarray, hub: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> list[tuple]:
+def _implied(hub: int, x: np.ndarray, y: np.ndarray, via: np.ndarray, via_pos: np.ndarray, runs: list[int]) -> bool:
+    """Whether all anchors of a chain stand in one other document, in order, which both documents are joined to."""
+    inside = np.zeros(len(x), bool)
+    for x1, x2, y1, _ in (runs[i: i + 4] for i in range(0, len(runs), 4)):
+        inside |= (x >= x1) & (x < x2) & (x - y == x1 - y1)
+    at, v, vp = x[inside], via[inside], via_pos[inside]
+    if v[0] == hub or (v != v[0]).any():
+        return False
+    order = np.argsort(at, kind="stable")
+    dx, dv = np.diff(at[order]), np.diff(vp[order])
+    return bool(((dv >= 0) & (np.abs(dv - dx) <= MAX_GAP)).all())
+
+
+def _chains_of(doc: np.ndarray, hub: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, via: np.ndarray, via_pos: np.ndarray) -> list[tuple]:
     """Chains of sorted anchors (by doc, hub, diagonal, place); whole pairs only.
 
-    Later places chain on their own, and only count where no chain of the pair spans the same words of the document.
+    A chain whose seeds all lead to one other document is left to that one.  Later places chain on their own, and only
+    count where no chain of the pair spans the same words of the document.
     """
     if not len(doc):
         return []
@@ -302,6 +453,9 @@ def _chains_of(doc: np.ndarray, hub: np.ndarray, x: np.ndarray, y: np.ndarray, s
             continue
         for p, xs, ys, xe, ye, runs in _paths(pair[own], x[own], y[own], np.abs(size[own])):
             if not later:
+                mine = own[slice(*np.searchsorted(pair[own], [p, p + 1]))]
+                if (via[mine] != hub[mine]).any() and _implied(int(hub[mine[0]]), x[mine], y[mine], via[mine], via_pos[mine], runs):
+                    continue
                 spans.setdefault(p, []).append((xs, xe))
             elif any(a <= xs and xe <= b for a, b in spans.get(p, ())):
                 continue
@@ -313,7 +467,7 @@ def _chains_of(doc: np.ndarray, hub: np.ndarray, x: np.ndarray, y: np.ndarray, s
 def chains_of(anchors: DataFrame) -> DataFrame:
     """Chains: doc_id, hub, the span in both, whether of later places, and the runs (x1, x2, y1, y2 one after another)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 5
+        held = [np.zeros(0, np.int64)] * 7
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(map(list, zip(*rows))) if rows else [[]] * len(CHAINS)
@@ -330,7 +484,7 @@ def chains_of(anchors: DataFrame) -> DataFrame:
                 held = [h[cut:] for h in held]
         yield out(_chains_of(*held))
 
-    # The anchors of a document are at most its seeds, so no key is hot.
+    # The anchors of a document are at most ``PAIRED`` times its seeds, so no key is hot.
     sorted_ = anchors.repartition("doc_id").sortWithinPartitions("doc_id", "hub", F.col("pos") - F.col("hub_pos"), "pos")
     return sorted_.mapInArrow(run, CHAINS)
 

@@ -716,3 +716,37 @@ def test_fuzzy_passages_down_to_the_least_match(spark):
     got = {x[0] for x in passages(spark, rows)}
     for k in range(4):
         assert len(got & set(range(2 * n * k, 2 * n * (k + 1)))) >= 0.9 * n
+
+
+def test_fuzzy_passage_of_later_documents_scattered_over_earlier_ones(spark):
+    r = np.random.default_rng(41)
+    rows, want, d = [], set(), 1
+    for _ in range(20):
+        p = random_words(r, 90)
+        q = [random_words(r, 1)[0] if i % 9 == 4 else w for i, w in enumerate(p)]
+        # Every seed stands in some earlier document, no two neighbouring ones in the same.
+        for a in range(0, 87):
+            rows.append((d, random_words(r, 12) + p[a:a + 4] + random_words(r, 12)))
+            d += 1
+        rows += [(d, random_words(r, 30) + p + random_words(r, 30)), (d + 1, random_words(r, 50) + q + random_words(r, 20))]
+        want.add((d + 1, d))
+        d += 2
+    assert want <= {x[:2] for x in passages(spark, rows)}
+
+
+def test_fuzzy_passage_of_seeds_that_many_documents_have(spark):
+    from codesift.llm.substring_dedup import PAIRED
+
+    r = np.random.default_rng(42)
+    rows, want, d = [], set(), 1
+    for _ in range(4):
+        p = random_words(r, 90)
+        q = [random_words(r, 1)[0] if i % 15 == 7 else w for i, w in enumerate(p)]
+        for a in range(0, 87):
+            for _ in range(PAIRED + 4):
+                rows.append((d, random_words(r, 5) + p[a:a + 4] + random_words(r, 5)))
+                d += 1
+        rows += [(d, random_words(r, 30) + p + random_words(r, 30)), (d + 1, random_words(r, 50) + q + random_words(r, 20))]
+        want.add((d + 1, d))
+        d += 2
+    assert want <= {x[:2] for x in passages(spark, rows)}
