@@ -65,6 +65,16 @@ def opened(path: str) -> BinaryIO:
     return store.open_input_file(at)
 
 
+def children(folder: str) -> list[fs.FileInfo]:
+    store, at = fs.FileSystem.from_uri(_uri(folder))
+    return store.get_file_info(fs.FileSelector(at))
+
+
+def is_folder(path: str) -> bool:
+    store, at = fs.FileSystem.from_uri(_uri(path))
+    return store.get_file_info(at).type == fs.FileType.Directory
+
+
 def ranged(path: str) -> bool:
     """Whether tasks can read parts of files at this path."""
     try:
