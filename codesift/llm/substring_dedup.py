@@ -29,7 +29,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +53,8 @@ HOT_DOCS = 4_000
 HOT_SHARE = 100
 HOT_LEAST = 20
 HOT_SEEDS = 20_000
+# The bit that marks the places of a common seed.
+COMMON = 2
 # A short seed, or sequence of seeds, that at most so many rows have joins all pairs of its documents.
 PAIRED = 16
 
@@ -85,13 +86,20 @@ def thin(grams: np.ndarray, goffs: np.ndarray, width: int) -> np.ndarray:
     return chosen
 
 
-def seeds_of(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+def _among(seed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which seeds are among the sorted keys."""
+    return keys[np.minimum(np.searchsorted(keys, seed), len(keys) - 1)] == seed if len(keys) else np.zeros(len(seed), bool)
+
+
+def seeds_of(docs: DataFrame, only: np.ndarray | None = None, marked: np.ndarray | None = None) -> DataFrame:
     """seed (odd for a window of ``MIN_WORDS`` words, even for one of ``SEED_WORDS``), doc_id, pos (word).
 
     The k-th place of a seed, k > 1, has two rows: one with a seed made of the seed and k, one with the seed itself and
-    ``-1 - pos``.  ``only`` names the seeds wanted.
+    ``-1 - pos``.  ``only`` names the seeds wanted; the seeds named by ``marked`` get the bit ``COMMON``, which no other has.
     """
     wanted = None if only is None else np.sort(only)
+    known = np.zeros(0, np.int64) if marked is None else np.sort(marked)
+    rest = ~np.uint64(1 | COMMON)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,7 +109,7 @@ def seeds_of(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                 grams, goffs = gram_hashes(words, woffs, size)
                 chosen = thin(grams, goffs, width) if wide else (grams >> np.uint64(8)) % np.uint64(ONE_IN) == 0
                 at = np.flatnonzero(chosen & np.repeat(np.diff(woffs) >= size, np.diff(goffs)))
-                seed, doc = grams[at] & ~np.uint64(1) | np.uint64(wide), np.searchsorted(goffs, at, "right") - 1
+                seed, doc = grams[at] & rest | np.uint64(wide), np.searchsorted(goffs, at, "right") - 1
                 order = np.lexsort((at, seed, doc))
                 at, seed, doc = at[order], seed[order], doc[order]
                 fresh = np.ones(len(at), bool)
@@ -116,29 +124,35 @@ def seeds_of(docs: DataFrame, only: np.ndarray | None = None) -> DataFrame:
                 k = np.arange(len(at)) - np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
                 more = k > 0
                 kth = seed.copy()
-                kth[more] = mix(seed[more] ^ k[more].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1) | np.uint64(wide)
+                kth[more] = mix(seed[more] ^ k[more].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & rest | np.uint64(wide)
                 pos = (at - goffs[doc]).astype(np.int32)
-                seed, doc, pos = np.concatenate([kth, seed[more]]), np.concatenate([doc, doc[more]]), np.concatenate([pos, -1 - pos[more]])
+                seed, doc, pos = as_long(np.concatenate([kth, seed[more]])), np.concatenate([doc, doc[more]]), np.concatenate([pos, -1 - pos[more]])
                 if wanted is not None:
-                    mine = wanted[np.minimum(np.searchsorted(wanted, as_long(seed)), len(wanted) - 1)] == as_long(seed)
+                    mine = _among(seed, wanted)
                     seed, doc, pos = seed[mine], doc[mine], pos[mine]
-                yield pa.RecordBatch.from_arrays([pa.array(as_long(seed)), pa.array(ids[doc]), pa.array(pos)], SEEDS.fieldNames())
+                if len(known):
+                    seed = np.where(_among(seed, known), seed | COMMON, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(seed), pa.array(ids[doc]), pa.array(pos)], SEEDS.fieldNames())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null").mapInArrow(run, SEEDS)
 
 
 def common_seeds(docs: DataFrame) -> dict[int, tuple[int, int]]:
     """seed -> (hub, its place) of seeds that more than one document in ``HOT_SHARE`` has, by a sample of ``HOT_DOCS``
-    documents.  Documents have a bounded number of seeds on average, and so has what is common; ``HOT_SEEDS`` bounds it."""
+    documents.  Documents have a bounded number of seeds on average, and so has what is common; ``HOT_SEEDS`` bounds it.
+
+    No hub comes after the first sampled document that has the seed, so the documents behind the last of these are not read.
+    """
     n = docs.count()
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1_000_000)) < (1_000_000 * HOT_DOCS) // max(n, 1)
     sample = docs.select("doc_id", "text").filter(drawn)
     least = max(HOT_LEAST, min(n, HOT_DOCS) // HOT_SHARE, PAIRED + 1)
-    counts = seeds_of(sample).filter("pos >= 0").groupBy("seed").count().filter(F.col("count") >= least)
-    hot = [r[0] for r in counts.orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).collect()]
+    counts = seeds_of(sample).filter("pos >= 0").groupBy("seed").agg(F.count("*").alias("count"), F.min("doc_id").alias("first")).filter(F.col("count") >= least)
+    hot = counts.orderBy(F.desc("count"), "seed").limit(HOT_SEEDS).collect()
     if not hot:
         return {}
-    found = seeds_of(docs, only=np.array(hot, np.int64)).filter("pos >= 0").groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    early = docs.filter(F.col("doc_id").cast("long") <= max(r["first"] for r in hot))
+    found = seeds_of(early, only=np.array([r["seed"] for r in hot], np.int64)).filter("pos >= 0").groupBy("seed").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     return {r[0]: (r[1][0], r[1][1]) for r in found.collect()}
 
 
@@ -194,25 +208,12 @@ def seed_anchors(docs: DataFrame) -> DataFrame:
     """The anchors of single seeds, and a row of size 0 for each place of a short seed that more than ``PAIRED`` rows have.
 
     One exchange brings the places of a seed together, sorted by document, and a task reads them as a stream: the first
-    row of a seed is its hub, the others give anchors.  Places of common seeds, whose hubs are known, are anchors before
-    the exchange and travel under keys of their own.
+    row of a seed is its hub, the others give anchors.  Places of common seeds, whose hubs are known, are dealt by their
+    documents instead.
     """
     hubs = common_seeds(docs)
     keys = np.array(sorted(hubs), np.int64)
     first = np.array([hubs[k] for k in keys.tolist()], np.int64).reshape(-1, 2)
-    placed = "seed long, doc_id long, pos int, hub long, hub_pos int"
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seed, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-            at = np.minimum(np.searchsorted(keys, seed), max(len(keys) - 1, 0))
-            known = keys[at] == seed if len(keys) else np.zeros(len(seed), bool)
-            hub, place = (first[at] if len(keys) else np.zeros((len(seed), 2), np.int64)).T
-            # Only the lowest bit of a common seed, its kind, is needed behind the exchange.
-            own = as_long(mix(seed.astype(np.uint64) ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & ~np.uint64(1)) | (seed & 1)
-            out = pa.RecordBatch.from_arrays([pa.array(np.where(known, own, seed)), *b.columns[1:], pa.array(hub, mask=~known), pa.array(place.astype(np.int32), mask=~known)],
-                                             ["seed", "doc_id", "pos", "hub", "hub_pos"])
-            yield out.filter(pa.array(~known | (hub != doc) | (seed & 1 == 0)))
 
     def to_hub(s: np.ndarray, d: np.ndarray, p: np.ndarray, h: np.ndarray, q: np.ndarray) -> tuple:
         keep = np.flatnonzero(d != h)
@@ -228,12 +229,15 @@ def seed_anchors(docs: DataFrame) -> DataFrame:
 
         def unknown() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                given = b.column(3).is_valid()
-                mine = b.filter(given)
-                if mine.num_rows:
-                    s, d, p, h, q = (c.to_numpy() for c in mine.columns)
-                    known.extend([to_hub(s, d, p, h, q), unsettled(np.flatnonzero((s & 1 == 0) & (p >= 0)), d, p, h, q)])
-                yield b.filter(pa.compute.invert(given)).select([0, 1, 2])
+                seed = b.column(0).to_numpy()
+                given = seed & COMMON != 0
+                if not given.any():
+                    yield b
+                    continue
+                s, d, p = (c.to_numpy()[given] for c in b.columns)
+                h, q = first[np.searchsorted(keys, s & ~COMMON)].T
+                known.extend([to_hub(s, d, p, h, q), unsettled(np.flatnonzero((s & 1 == 0) & (p >= 0)), d, p, h, q)])
+                yield b.filter(pa.array(~given))
 
         for (s, d, p), start, before in _whole_groups(unknown(), PAIRED):
             h, q, n = d[start], p[start], np.bincount(start, minlength=len(s))[start]
@@ -252,8 +256,8 @@ def seed_anchors(docs: DataFrame) -> DataFrame:
 
     # First places before later ones, so that the first row of a seed is the first place in its first document.
     order = ["seed", "doc_id", F.col("pos") < 0, "pos"]
-    met = seeds_of(docs).mapInArrow(name, placed).repartition("seed").sortWithinPartitions(*order)
-    return met.mapInArrow(anchor, ANCHORS)
+    dealt = F.when(F.col("seed").bitwiseAND(COMMON) == 0, F.col("seed")).otherwise(F.xxhash64("seed", "doc_id"))
+    return seeds_of(docs, marked=keys).repartition(dealt).sortWithinPartitions(*order).mapInArrow(anchor, ANCHORS)
 
 
 # A sequence of seeds of a document: its first and last seed, each with the hub and place that identify it.
@@ -414,8 +418,11 @@ def _paths(pair: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray) ->
     first = np.flatnonzero(start)
     last = np.append(first[1:], len(pair)) - 1
     x1, x2, y1, y2 = x[first], end[last], y[first], end[last] - x[first] + y[first]
-    cuts = [*np.flatnonzero(np.diff(pair[first], prepend=-1)).tolist(), len(first)]
-    for a, b in zip(cuts, cuts[1:]):
+    heads = np.flatnonzero(np.diff(pair[first], prepend=-1))
+    # Most pairs share a few words only; none of their chains can be long enough.
+    wide = [np.maximum.reduceat(hi, heads) - np.minimum.reduceat(lo, heads) >= LEAST_SPAN for lo, hi in ((x1, x2), (y1, y2))]
+    spans = np.flatnonzero(wide[0] & wide[1])
+    for a, b in zip(heads[spans].tolist(), np.append(heads[1:], len(first))[spans].tolist()):
         order = np.argsort(x1[a:b], kind="stable") + a
         cols = [c[order].tolist() for c in (x1, x2, y1, y2)]
         for path in (p for whole in chain(*cols) for p in near(whole, *cols)):

@@ -259,3 +259,63 @@ def test_common_seeds_give_the_same_passages(spark, monkeypatch):
         assert bool(hot) == (least == 3)
         found.append(sorted(tuple(x) for x in substring_dedup.anchors_of(df).collect()))
     assert found[0] == found[1] and len(found[0]) > 500
+
+
+# ---- 10 hubs of common seeds, one pass over the texts, pairs too short to chain
+
+def notices(spark, n=400):
+    r = np.random.default_rng(51)
+    word = lambda n: [f"w{i}" for i in r.integers(0, 1 << 40, n)]
+    first, second = word(60), word(60)
+    rows = [(i, " ".join(word(12) + (first if i > 4 else []) + word(9) + (second if i > 30 and i % 2 else []))) for i in range(n)]
+    # An early document given twice, and one without an id.
+    rows += [(6, " ".join(word(3) + first)), (None, " ".join(first + second))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+def test_hubs_of_common_seeds_without_reading_all_documents(spark, monkeypatch):
+    from codesift.llm import substring_dedup
+
+    df, read, seeds_of = notices(spark), [], substring_dedup.seeds_of
+    seeds = [tuple(x) for x in seeds_of(df).filter("pos >= 0").collect()]
+
+    def seen(docs, only=None, **more):
+        if only is not None:
+            read.append(docs.count())
+        return seeds_of(docs, only, **more)
+
+    monkeypatch.setattr(substring_dedup, "seeds_of", seen)
+    # All documents, then about one in four, where the first document of a seed may not be drawn.
+    for drawn in (4_000, 100):
+        monkeypatch.setattr(substring_dedup, "HOT_DOCS", drawn)
+        hubs = substring_dedup.common_seeds(df)
+        assert len(hubs) > 10
+        assert hubs == {s: min((d, p) for t, d, p in seeds if t == s) for s in hubs}
+    assert len(read) == 2 and max(read) < 200
+
+
+def test_seeds_are_made_and_marked_in_one_step(spark):
+    from codesift.llm import substring_dedup
+
+    df = notices(spark, 60)
+    plain = sorted(tuple(x) for x in substring_dedup.seeds_of(df).collect())
+    assert not any(s & substring_dedup.COMMON for s, _, _ in plain)
+    keys = np.array(sorted({s for s, _, _ in plain})[::5], np.int64)
+    marked = substring_dedup.seeds_of(df, marked=keys).collect()
+    assert {s - 2 for s, _, _ in marked if s & 2} == set(keys.tolist())
+    assert sorted((s & ~2, d, p) for s, d, p in marked) == plain
+    # One Python step before the exchange and one behind it.
+    assert substring_dedup.seed_anchors(df)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_pairs_too_short_for_a_passage_are_not_chained(monkeypatch):
+    from codesift.llm import substring_dedup
+
+    calls, chain = [], substring_dedup.chain
+    monkeypatch.setattr(substring_dedup, "chain", lambda *c: calls.append(c[0]) or chain(*c))
+    # Pair 1: two places on neighbouring diagonals, pair 2: far apart in one text only, pair 3: a chain of two runs.
+    pair, x, y = np.array([1, 1, 2, 2, 3, 3, 3]), np.array([10, 13, 50, 10, 20, 24, 31]), np.array([10, 12, 10, 10, 40, 44, 50])
+    order = np.lexsort((x, x - y, pair))
+    got = list(substring_dedup._paths(pair[order], x[order], y[order], np.full(7, 4)))
+    assert [g[:5] for g in got] == [(3, 20, 40, 35, 54)]
+    assert calls == [[20, 31]]
