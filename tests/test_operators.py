@@ -12,6 +12,7 @@ from codesift.functions import features as fx
 from codesift.functions import reports as rx
 from codesift.operators import aggregates, clusters, features, merge, nearest, packing, paths, reports, responses, retrieval
 from codesift.operators.components import connected_components
+from codesift.plans import render
 from codesift.plans.passes import plan_passes
 from codesift.plans.render import map_in_order, map_rows, map_section, prompt_rows, report_in_order, report_rows, summarize_files
 
@@ -398,6 +399,25 @@ def test_focus_lists_only_notes_that_hit_a_file(spark):
     assert [r["path"] for r in rows] == ["A.sol"]
 
 
+def test_every_prompt_holds_the_whole_map(spark, monkeypatch):
+    monkeypatch.setattr(render, "MAP_PAGE", 4)
+    batches = spark.createDataFrame([(p, 2, b, 1, "a.sol", False) for p, b in (("p", 0), ("p", 1), ("q", 0))],
+                                    "project_id string, pass_no int, batch_no int, place int, path string, is_reaudit boolean")
+    files = spark.createDataFrame([("p", "a.sol", "solidity", "x"), ("q", "a.sol", "solidity", "x")], "project_id string, path string, language string, content string")
+    blocks = spark.createDataFrame([("p", "c", "b"), ("q", "c", "b")], "project_id string, context string, block string")
+    project_map = spark.createDataFrame(
+        [("p", 0, 0.0, "", 0, 0, "HEAD"), ("p", 2, 0.0, "", 0, 0, "FOOT")] + [("p", 1, i / 100, f"{i}.sol", k, 0, t) for i in range(40) for k, t in ((0, f"[{i}.sol]"), (2, ""))]
+        + [("q", 0, 0.0, "", 0, 0, "Q"), ("r", 0, 0.0, "", 0, 0, "R")],
+        "project_id string, part int, score double, path string, sub int, pass_no int, text string").repartition(7)
+    rows = prompt_rows(batches, files, blocks.drop("block"), blocks.drop("context"), project_map=project_map)
+    texts = {}
+    for r in sorted(rows.filter("section = 1").collect(), key=lambda r: r["place"]):
+        texts.setdefault((r["project_id"], r["batch_no"]), []).append(r["text"])
+    want = "\n".join(["=== PROTOCOL MAP ===", "HEAD", *[f"[{i}.sol]\n" for i in range(39, -1, -1)], "FOOT"])
+    assert {k: "\n".join(v) for k, v in texts.items()} == {("p", 0): want, ("p", 1): want, ("q", 0): "=== PROTOCOL MAP ===\nQ"}
+    assert len(texts["p", 0]) == 22
+
+
 def test_fallback_is_for_projects_without_merged_findings(spark):
     raw = spark.range(50).selectExpr("concat('f', lpad(id, 2, '0')) as finding_id", "concat('p', id % 2) as project_id", "'m' as auditor_id")
     merged = spark.createDataFrame([("p0",)], "project_id string")
