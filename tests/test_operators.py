@@ -15,6 +15,7 @@ from codesift.operators.components import connected_components
 from codesift.plans import render
 from codesift.plans.passes import plan_passes
 from codesift.plans.render import map_in_order, map_rows, map_section, prompt_rows, report_in_order, report_rows, summarize_files
+from codesift.workloads import catalog
 
 HEADERS = {
     "## [H-01] Title": ("H-01", "High"), "## [H-01]: Title": ("H-01", "High"), "## H-01: Title": ("H-01", "High"),
@@ -407,6 +408,31 @@ def test_merging_in_tasks_moves_a_finding_once(spark, monkeypatch):
     assert plan.count("Exchange ") == 1
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _thirty_findings(spark):
+    rows = [(f"{i}", "P1", f"f{i % 3}", "a", "High", f"Unsafe call {i % 7}", i, "dos", "d", "e", "r") for i in range(30)]
+    return spark.createDataFrame(rows, "finding_id string, project_id string, file string, auditor_id string, severity string, title string, line int, "
+                                       "category string, description string, exploit string, recommendation string")
+
+
+def test_sorting_moves_merged_findings_only(spark):
+    assert _plan(merge.sort_report(merge.merge_findings(_thirty_findings(spark)))).count("Exchange ") == 2
+
+
+def _small_report(spark, monkeypatch):
+    project_map = spark.createDataFrame([("P1", 0, 0.0, "", 0, 0, "HEAD")], "project_id string, part int, score double, path string, sub int, pass_no int, text string")
+    monkeypatch.setattr(catalog, "_f", lambda s, d: _thirty_findings(s))
+    monkeypatch.setattr(catalog, "_map", lambda s, d: project_map)
+
+
+def test_report_reads_merged_findings_from_files(spark, monkeypatch):
+    _small_report(spark, monkeypatch)
+    assert "FlatMapGroups" not in _plan(catalog._report(spark, ""))
+
+
 def test_report_ends_with_the_map(spark):
     project_map = spark.createDataFrame([("p", 0, 0.0, "", 0, 0, "HEAD"), ("p", 1, 0.5, "a.sol", 0, 0, "[a.sol]"), ("p", 1, 0.9, "b.sol", 0, 0, "[b.sol]"),
                                          ("p", 1, 0.5, "a.sol", 1, 2, "note"), ("p", 2, 0.0, "", 0, 0, "FOOT")],
