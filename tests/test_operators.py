@@ -15,7 +15,7 @@ from codesift.operators.components import connected_components
 from codesift.plans import render
 from codesift.plans.passes import plan_passes
 from codesift.plans.render import map_in_order, map_rows, map_section, prompt_rows, report_in_order, report_rows, summarize_files
-from codesift.workloads import catalog
+from codesift.workloads import catalog, storage
 
 HEADERS = {
     "## [H-01] Title": ("H-01", "High"), "## [H-01]: Title": ("H-01", "High"), "## H-01: Title": ("H-01", "High"),
@@ -433,6 +433,15 @@ def test_report_reads_merged_findings_from_files(spark, monkeypatch):
     assert "FlatMapGroups" not in _plan(catalog._report(spark, ""))
 
 
+def test_sink_report_sorts_the_report_without_another_copy(spark, monkeypatch):
+    _small_report(spark, monkeypatch)
+    seen, write = [], storage.stores.write_text
+    monkeypatch.setattr(storage.stores, "write_text", lambda rows, *a, **k: (seen.append(_plan(rows)), write(rows, *a, **k)))
+    lines = "\n".join(r["text"] for r in report_in_order(catalog._report(spark, "")).collect()).split("\n")
+    assert [(r["project_id"], r["n_lines"], r["n_chars"]) for r in storage.report(spark, "").collect()] == [("P1", len(lines), sum(map(len, lines)))]
+    assert "Union" in seen[0]
+
+
 def test_report_ends_with_the_map(spark):
     project_map = spark.createDataFrame([("p", 0, 0.0, "", 0, 0, "HEAD"), ("p", 1, 0.5, "a.sol", 0, 0, "[a.sol]"), ("p", 1, 0.9, "b.sol", 0, 0, "[b.sol]"),
                                          ("p", 1, 0.5, "a.sol", 1, 2, "note"), ("p", 2, 0.0, "", 0, 0, "FOOT")],
@@ -573,7 +582,7 @@ def test_near_duplicates_in_tasks_and_by_joins_agree(spark, monkeypatch):
 
 
 def test_path_joins_compute_the_features_they_read(spark, monkeypatch):
-    from codesift.workloads import catalog
+    from codesift.workloads import catalog, storage
 
     written = []
     monkeypatch.setattr(catalog, "cut_lineage", lambda df: written.append(df.columns) or df)
