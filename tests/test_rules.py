@@ -1,8 +1,10 @@
 """One text that fires and one that does not per rule branch."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from codesift.operators.scan import rule_scan
+from codesift.rules import solidity
 from codesift.rules.solidity import MESSAGES
 
 OLD, NEW = "pragma solidity 0.5.0;", "pragma solidity 0.8.20;"
@@ -174,3 +176,16 @@ def test_braces_are_counted_without_a_pattern(spark):
     rows = spark.createDataFrame([("{a{}",), ("",), ("\u00fc{\U0001f600}",), (None,)], "t string")
     got = rows.select(_count(F.col("t"), "{"), F.regexp_count("t", F.lit(r"\{"))).collect()
     assert all(a == b for a, b in got) and got[0][0] == 2
+
+
+def test_words_are_looked_for_without_patterns(spark):
+    facts = solidity.file_facts()
+    assert not [name for name, c in facts.items() if "rlike" in str(c).lower()]
+    plain = [b.key for b in solidity.solidity_branches(lambda lo, hi: F.lit("")) if "rlike" in str(b.anchor).lower() and "case when" not in str(b.anchor).lower()]
+    assert not plain  # a pattern is tried only where a word of it stands
+
+
+def test_no_slot_variable(spark):
+    texts = ["x", "  uint256 private a;", "y\n  uint256 private a;", " private x", "contract\n"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", solidity.slot_variable_offset(F.col("t")).alias("at")).collect()
+    assert [r["at"] for r in sorted(got)] == [-1, 0, 1, -1, -1]
