@@ -15,7 +15,7 @@ from codesift.operators.components import connected_components
 from codesift.plans import render
 from codesift.plans.passes import plan_passes
 from codesift.plans.render import map_in_order, map_rows, map_section, prompt_rows, report_in_order, report_rows, summarize_files
-from codesift.workloads import catalog, storage
+from codesift.workloads import catalog, corpus, storage
 
 HEADERS = {
     "## [H-01] Title": ("H-01", "High"), "## [H-01]: Title": ("H-01", "High"), "## H-01: Title": ("H-01", "High"),
@@ -408,6 +408,17 @@ def test_merging_in_tasks_moves_a_finding_once(spark, monkeypatch):
     assert plan.count("Exchange ") == 1
 
 
+def test_findings_without_a_part_merge_by_the_words_they_show(spark, tmp_path):
+    rows = [(500 * (i // 20) + i % 20, None if i % 3 == 1 else i * 7, None if i % 5 == 2 else i % 4, i % 6) for i in range(200)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = corpus.findings(spark, str(tmp_path)).select("finding_id", "title", merge.title_tokens(F.col("title")).alias("words"))
+    for r in df.collect():
+        assert sorted(set(r["title"].lower().replace("()", "").split(" "))) == r["words"]
+    # A word without its number is left out; it is not that of the row before.
+    bare = corpus.findings(spark, str(tmp_path)).filter("line is null").select("title").collect()
+    assert bare and all(sum(w in corpus.WORD_A for w in r["title"].split(" ")) + sum(w in corpus.WORD_B for w in r["title"].split(" ")) < 2 for r in bare)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -582,7 +593,7 @@ def test_near_duplicates_in_tasks_and_by_joins_agree(spark, monkeypatch):
 
 
 def test_path_joins_compute_the_features_they_read(spark, monkeypatch):
-    from codesift.workloads import catalog, storage
+    from codesift.workloads import catalog, corpus, storage
 
     written = []
     monkeypatch.setattr(catalog, "cut_lineage", lambda df: written.append(df.columns) or df)
